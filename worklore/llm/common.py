@@ -49,7 +49,7 @@ def drop_written(df: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's input, for choosing partition counts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fanout(df: DataFrame, bytes_each: int = 8 << 20, least: int = 0) -> int:

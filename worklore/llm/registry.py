@@ -6,8 +6,9 @@ from worklore.llm.packing import op1_packing
 from worklore.llm.pii import op2_pii
 from worklore.llm.quality_rules import op9_quality_rules
 from worklore.llm.secrets import op4_secrets
+from worklore.llm.suffix_dedup import op6_suffix_dedup
 from worklore.llm.url_filter import op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op4_secrets, op5_url_filter, op8_language_id, op9_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op4_secrets, op5_url_filter, op6_suffix_dedup, op8_language_id, op9_quality_rules, op10_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -83,6 +83,20 @@ def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, rule_vers
     return paths.join(hits, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+    """docs with each finding in the text replaced by its kind in brackets; of overlapping findings the first counts.
+    Texts are scanned once per blob, and findings come back by blob."""
+    new = scan_blobs(docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text")), ledger)
+    known = new if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).unionByName(new)
+    hits = known.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+    text = F.col(text_col)
+    piece = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
+    step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"]), F.lit("["), s["kind"], F.lit("]")).alias("out")))
+    done = F.aggregate("_findings", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text))))
+    marked = docs.withColumn("_id", blob_id(text)).join(hits, F.col("_id") == F.col("_blob"), "left")
+    return marked.withColumn(text_col, F.when(F.col("_findings").isNotNull(), done).otherwise(text)).select(*docs.columns)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")

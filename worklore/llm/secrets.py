@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklore.llm.common import joined, matches, table
+from worklore.llm.common import joined, matches, table, written
 
 RULE_VERSION = "1"
 BASE_KINDS = ("assign", "access", "hex")
@@ -75,8 +75,9 @@ def update_ledger(versions: DataFrame, ledger_path: str, rule_version: str = RUL
 
 
 def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """(path, blob, findings) for every row of versions(path, text), from the ledger and from a scan of the rest."""
-    new = scan_blobs(versions, ledger, rule_version)
+    """(path, blob, findings) for every row of versions(path, text), from the ledger and from a scan of the rest. The
+    scan is a table before it is joined, so that a hot blob's paths can be split over tasks."""
+    new = written(scan_blobs(versions, ledger, rule_version), "ledger")
     known = new if ledger is None else ledger.where(F.col("rule_version") == rule_version).unionByName(new)
     hits = known.where(F.size("findings") > 0).select("blob", "findings")
     paths = versions.select("path", blob_id(F.col("text")).alias("blob"))

@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from worklore.functions.expressions import let
 from worklore.sources.repos import issue_of
@@ -81,7 +82,7 @@ def python_routes(source: str) -> list[str]:
     return list(found)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def python_routes_of(source: pd.Series) -> pd.Series:
     return source.map(lambda s: python_routes(s) if s is not None else [])
 
@@ -132,7 +133,7 @@ def python_spans(source: str) -> list[tuple[int, int, str]]:
     return out
 
 
-SPANS = "array<struct<start:int,stop:int,name:string>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("name", T.StringType())]))
 
 
 @F.pandas_udf(SPANS)
@@ -163,7 +164,7 @@ def script_declarations(source: str) -> list[tuple[int, str]]:
     return out
 
 
-@F.pandas_udf("array<struct<line:int,name:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("name", T.StringType())])))
 def script_declarations_of(source: pd.Series) -> pd.Series:
     return source.map(lambda s: [{"line": a, "name": n} for a, n in script_declarations(s or "")])
 

@@ -142,5 +142,5 @@ def candidates_of(response: Column) -> Column:
     filled = F.transform(parsed, lambda c: F.struct(c["kind"].alias("kind"), c["outcome"].alias("outcome"), c["summary"].alias("summary"), F.coalesce(c["detail"], F.lit("")).alias("detail"), F.coalesce(c["evidence"], F.lit("none")).alias("evidence"), F.coalesce(c["source"], F.lit("stated")).alias("source"), F.coalesce(c["confidence"], F.lit("medium")).alias("confidence")))
     known = F.coalesce(F.json_object_keys(response), F.array().cast("array<string>"))
     extra = F.size(F.array_except(known, F.array(F.lit("records")))) > 0
-    good = F.try_parse_json(response).isNotNull() & ~extra & F.coalesce(F.forall(filled, valid_candidate), F.size(known) == 0)
+    good = F.try_parse_json(response).isNotNull() & F.startswith(F.ltrim(response), F.lit("{")) & ~extra & F.coalesce(F.forall(filled, valid_candidate), F.size(known) == 0)
     return F.when(good, F.coalesce(filled, F.array().cast(f"array<{ddl}>")))

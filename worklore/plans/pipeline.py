@@ -41,6 +41,7 @@ def load(spark: SparkSession, paths: str | list[str], root: str, tracked: DataFr
     turns, sessions = transcripts.parse(transcripts.read_lines(spark, paths))
     named = transcripts.candidate_paths(turns, root)
     if ignored is None:
+        named = repos.existing_files(spark, root, named)
         ignored = repos.ignored_files(spark, root, named)
     known = transcripts.allowed_files(named, tracked, ignored)
     return transcripts.with_steps(transcripts.normalize_paths(turns, root, known)), sessions

@@ -46,6 +46,14 @@ def ignored_files(spark: SparkSession, root: str, candidates: DataFrame) -> Data
     return spark.createDataFrame([(p,) for p in _names(out)], "path string")
 
 
+def existing_files(spark: SparkSession, root: str, candidates: DataFrame) -> DataFrame:
+    """Of candidates(path), those that are files below the root on the driver's disk."""
+    import os
+
+    paths = [r["path"] for r in candidates.select("path").distinct().toLocalIterator()]
+    return spark.createDataFrame([(p,) for p in paths if os.path.isfile(f"{root}/{p}")], "path string")
+
+
 def commits(spark: SparkSession, repo: str, root: str) -> DataFrame:
     """(repo, sha, committed_at, ord) of all branches, newest first."""
     rows = []

@@ -14,6 +14,7 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from worklore.config import RESULT_HEAD, RESULT_TAIL, THINKING_CHARS, TOOL_CHARS, TURN_CHARS
 from worklore.functions.expressions import strip, truncate, truncate_ends
@@ -105,7 +106,7 @@ def tool_paths(text: str | None) -> list[str]:
     return list(found)
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _all_tool_paths(inputs: pd.Series) -> pd.Series:
     return inputs.map(lambda xs: [tool_paths(x) for x in xs] if xs is not None else None)
 

@@ -48,14 +48,16 @@ def drop_written(df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's input, for choosing partition counts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's sizes of the tables that a plan reads, for choosing partition counts; 0 where no size is known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
 
 
-def fanout(df: DataFrame, bytes_each: int = 8 << 20, least: int = 0) -> int:
+def fanout(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """How many partitions for an exchange: in proportion to the input, never fewer than the session's setting."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, n, -(-input_bytes(df) // bytes_each))
+    return max(n, -(-input_bytes(df) // bytes_each))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -85,8 +85,10 @@ def test_every_linked_pair_shares_a_signature(num, den):
                 continue
             pairs += 1
             bounds = np.asarray([0, len(a), len(a) + len(b)])
-            sig, owner = jaccard_join.signatures(np.concatenate([a, b]), bounds, np.asarray([0, 1]), num, den)
+            sig, owner, sketch, drawn = jaccard_join.signatures(np.concatenate([a, b]), bounds, np.asarray([0, 1]), num, den)
             assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size, (len(a), len(b), limit)
+            sketches = [sketch[drawn == i].tobytes() for i in (0, 1)]
+            assert jaccard_join.Members([len(a), len(b)], sketches, num, den).may_link(1, np.asarray([0])).tolist() == [0]
     assert pairs > 50
 
 

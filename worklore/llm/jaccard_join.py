@@ -11,9 +11,11 @@ Sizes are in classes with their own number of parts; sets near a class's upper e
 between light and heavy is where the subsets begin to cost more than `LIGHT_COST` times the lists' entries; sets within a
 link's reach of it enter both ways. No link is lost: docstrings of `light_sizes` and `heavy_level` give the bounds.
 
-Candidates are verified on whole sets. Only components are asked for, so within a list each member is first compared with
-the list's least member alone; lists whose members are in one component then need no more, and in the rest the pairs
-across components are compared. No step lists all pairs of a group of copies.
+Candidates are verified on whole sets. Only components are asked for, so within a list each member is first paired with
+one leader; lists whose members are in one component then need no more, and in the rest members of different components
+are paired. Members are paired only if their sketches (a byte of each part's name, and its size) allow a link; so a part
+that a common passage fills costs comparisons of bytes within its list, and no rows. No step lists all pairs of a group
+of copies.
 
 Edge cases: null or empty text has an empty set, linked with nothing; rows with null id keep their set's size, have a null
 component and link nothing; repeated rows give one output row each; an empty table gives an empty result.
@@ -27,8 +29,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklore.llm import blobs
@@ -37,10 +39,13 @@ from worklore.llm.common import drop_written, table, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
 LIGHT_COST, CLASS_RATIO = 4, 1.5
-WORD_CACHE = 300_000
-META, SIGNATURES = 0, 1
-LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+META, SIGNATURES, SKETCHES = range(3)
 MULTIPLIERS = mix(np.arange(11, 27, dtype=np.uint64)) | np.uint64(1)
+BASE = 0x9E3779B97F4A7C15
+LOWER = np.arange(1, 257, dtype=np.uint64)
+LOWER[ord("A") : ord("Z") + 1] += np.uint64(32)
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _memo(f: Callable) -> Callable:
@@ -55,35 +60,80 @@ def _memo(f: Callable) -> Callable:
     return get
 
 
-class Words(dict):
-    """64-bit names of words, kept in bounded memory."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(raw: bytes, k: int, names: Words) -> np.ndarray:
-    """Sorted distinct 64-bit names of a text's word shingles."""
-    words = raw.translate(LOWER).split()  # bytes.split() cuts at \\x20 and \\x09-\\x0D
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(names.__getitem__, words), np.uint64, len(words))
-    if len(h) < k:
-        return mix(np.asarray([np.sum(h * MULTIPLIERS[: len(h)], dtype=np.uint64) + np.uint64(len(h))], np.uint64))
-    n = len(h) - k + 1
-    out = h[:n] * MULTIPLIERS[0]
-    for i in range(1, k):
-        out = out + h[i : i + n] * MULTIPLIERS[i]
-    return np.unique(mix(out))
-
-
-def set_name(s: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    both = np.asarray([np.sum(s, dtype=np.uint64) + np.uint64(len(s)), np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))], np.uint64) if len(s) else np.zeros(2, np.uint64)
-    return int(mix(both[:1] * np.uint64(0x9E3779B97F4A7C15) + both[1:]).view(np.int64)[0])
+def new_groups(*columns: np.ndarray) -> np.ndarray:
+    """True where any column differs from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+class Shingles:
+    """Sets of blocks of texts. A word's name comes from running sums of a polynomial over the block's bytes, so that no
+    word is looked at one by one; a shingle's name mixes its words' names."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.powers):
+            n = max(n, blobs.BLOCK_BYTES + 1)
+            self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
+            self.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)]))
+
+    def sets(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(names of all texts' distinct shingles, sorted within each text; n+1 bounds of the texts)."""
+        n_docs, k = len(ends) - 1, self.k
+        if not len(raw):
+            return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
+        self._grow(len(raw) + 1)
+        word = ~BLANK[raw]
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[ends] = True
+        starts = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+        stops = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LOWER[raw] * self.powers[: len(raw)], dtype=np.uint64)])
+        h = mix((total[stops] - total[starts]) * self.inverse[starts] + (stops - starts).astype(np.uint64))
+        doc = np.searchsorted(ends, starts, "right") - 1
+        n_words = np.bincount(doc, minlength=n_docs)
+        names, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(h) >= k:
+            whole = doc[: len(h) - k + 1] == doc[k - 1 :]
+            out = h[: len(h) - k + 1] * MULTIPLIERS[0]
+            for i in range(1, k):
+                out = out + h[i : len(h) - k + 1 + i] * MULTIPLIERS[i]
+            names, owner = mix(out[whole]), doc[: len(h) - k + 1][whole]
+        short = np.flatnonzero((n_words > 0) & (n_words < k))
+        if len(short):
+            at = np.concatenate([[0], np.cumsum(n_words)])
+            few = [np.sum(h[at[d] : at[d + 1]] * MULTIPLIERS[: n_words[d]], dtype=np.uint64) + np.uint64(n_words[d]) for d in short]
+            names, owner = np.concatenate([names, mix(np.asarray(few, np.uint64))]), np.concatenate([owner, short])
+            order = np.argsort(owner, kind="stable")
+            names, owner = names[order], owner[order]
+        bounds = np.searchsorted(owner, np.arange(n_docs + 1))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            names[a:b].sort()
+        fresh = new_groups(names, owner)
+        names, owner = names[fresh], owner[fresh]
+        return names, np.searchsorted(owner, np.arange(n_docs + 1))
+
+    def of_texts(self, texts: list[bytes]) -> list[np.ndarray]:
+        ends = np.cumsum([0] + [len(t) for t in texts])
+        names, bounds = self.sets(np.frombuffer(b"".join(texts), np.uint8), ends)
+        return np.split(names, bounds[1:-1])
+
+
+def set_names(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Signed 64-bit name of each set."""
+    size = np.diff(bounds)
+    out = np.zeros(len(size), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        both = np.add.reduceat(names, bounds[full]) + size[full].astype(np.uint64), np.bitwise_xor.reduceat(mix(names ^ np.uint64(0x5851F42D4C957F2D)), bounds[full])
+        out[full] = mix(both[0] * np.uint64(BASE) + both[1])
+    return out.view(np.int64)
 
 
 @_memo
@@ -113,9 +163,10 @@ def classes(num: int, den: int) -> tuple[int, ...]:
 @_memo
 def parts(upper: int, num: int, den: int) -> tuple[int, int]:
     """(number of parts, slack) of a class: linked sets of sizes a, b differ in at most (den-num)/(den+num) * (a+b)
-    shingles, and one more part than that leaves a part that is equal; `slack` parts more may be empty in both."""
+    shingles, and one more part than that leaves a part that is equal; `slack` parts more may be empty in both, and make
+    linked sets agree on more than one part, which sketches test."""
     differ = (den - num) * 2 * upper // (den + num)
-    slack = 2 + differ // 100
+    slack = 3 + differ // 7
     return differ + 1 + slack, slack
 
 
@@ -137,29 +188,92 @@ def light_signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def heavy_signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Names of the inverted lists that a set enters: in each class, one for each part with shingles. If more parts are
-    empty than the class's slack, the empty parts are named too: of two linked sets either one has few empty parts, and
-    they agree on one that isn't, or both name theirs."""
-    out = []
-    for level in levels(len(s), num, den):
-        m, slack = parts(classes(num, den)[level], num, den)
-        part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # s is sorted, and so are its parts
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sums, which = np.add.reduceat(mix(s), starts), part[starts]
-        if m - len(starts) > slack:
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), which)
-            sums, which = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([which, empty])
-        out.append(mix(sums + (which + np.uint64(level << 40)) * np.uint64(0xC2B2AE3D27D4EB4F)))
-    return np.concatenate(out)
-
-
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+def heavy_signatures(names: np.ndarray, bounds: np.ndarray, which: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """(signatures, set of each; sketch bytes, set of each): the inverted lists that sets enter, a set being at `which` and entering class `level`:
+    one for each of the class's parts that holds shingles. If more parts are empty than the class's slack, the empty parts
+    are named too: of two linked sets either one has few empty parts, and they agree on one that isn't, or both name
+    theirs."""
+    shape = {v: parts(classes(num, den)[v], num, den) for v in np.unique(level).tolist()}
+    m, slack = (np.asarray([shape[v][i] for v in level.tolist()], np.int64) for i in (0, 1))
+    size = bounds[which + 1] - bounds[which]
+    row = np.repeat(np.arange(len(which)), size)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[which], size)
+    x = names[at]
+    part = ((x >> np.uint64(32)) * np.repeat(m, size).astype(np.uint64)) >> np.uint64(32)  # sorted, as the names are
+    starts = np.flatnonzero(new_groups(row, part))
+    sums, part, row = np.add.reduceat(mix(x), starts), part[starts], row[starts]
+    level_of = level.astype(np.uint64) << np.uint64(40)
+    sketch, place = np.zeros(2 * m.sum(), np.uint8), 2 * ((np.cumsum(m) - m)[row] + part.astype(np.int64))
+    sketch[place] = (mix(sums) & np.uint64(255)).astype(np.uint8)
+    sketch[place + 1] = np.minimum(255, np.diff(np.concatenate([starts, [len(x)]])))
+    empty = m - np.bincount(row, minlength=len(which))
+    for r in np.flatnonzero(empty > slack).tolist():
+        none = np.setdiff1d(np.arange(m[r], dtype=np.uint64), part[row == r])
+        sums, part, row = np.concatenate([sums, np.zeros(len(none), np.uint64)]), np.concatenate([part, none]), np.concatenate([row, np.full(len(none), r)])
+    return mix(sums + (part + level_of[row]) * np.uint64(0xC2B2AE3D27D4EB4F)), which[row], sketch, np.repeat(which, 2 * m)
+
+
+def signatures(names: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """(signatures, set of each; sketch bytes, set of each) of the wanted sets of a block."""
     limit = light_limit(num, den)
-    out = [light_signatures(s, num, den)] if len(s) <= limit else []
-    if len(s) >= -(-num * (limit + 1) // den):
-        out.append(heavy_signatures(s, num, den))
-    return np.concatenate(out)
+    size = np.diff(bounds)
+    light = wanted[size[wanted] <= limit]
+    made = [light_signatures(names[bounds[d] : bounds[d + 1]], num, den) for d in light.tolist()]
+    sigs, owner = [*made], [np.full(len(x), d) for x, d in zip(made, light.tolist(), strict=True)]
+    heavy = wanted[size[wanted] >= -(-num * (limit + 1) // den)]
+    sketch, drawn = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    if len(heavy):
+        entries = [(d, v) for d in heavy.tolist() for v in levels(int(size[d]), num, den)]
+        which, level = (np.asarray(c, np.int64) for c in zip(*entries, strict=True))
+        x, o, sketch, drawn = heavy_signatures(names, bounds, which, level, num, den)
+        sigs.append(x)
+        owner.append(o)
+    sig, owner = (np.concatenate(sigs), np.concatenate(owner)) if sigs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return sig, owner, sketch, drawn
+
+
+class Members:
+    """One list's members, by class, for finding those that may be linked by size and by sketch.
+
+    A sketch has, for each part of each class that its set enters, a byte of the part's name and the number of its
+    shingles. Where parts differ in either, sets differ in as many shingles as the numbers do, and in two at least where
+    the numbers are equal; these add up to a lower bound of what linked sets may differ in. Sets without a common class
+    (light ones) may be linked."""
+
+    def __init__(self, sizes: list[int], sketches: list[bytes], num: int, den: int):
+        self.sizes, self.num, self.den = np.asarray(sizes, np.int64), num, den
+        rows: dict[int, list[tuple[int, bytes]]] = {}
+        for i, (n, sketch) in enumerate(zip(sizes, sketches, strict=True)):
+            at = 0
+            for level in levels(n, num, den) if sketch else ():
+                m = parts(classes(num, den)[level], num, den)[0]
+                rows.setdefault(level, []).append((i, sketch[at : at + 2 * m]))
+                at += 2 * m
+        self.levels = {}
+        for level, found in rows.items():
+            both = np.frombuffer(b"".join(x for _, x in found), np.uint8).reshape(len(found), -1, 2)
+            place = np.full(len(sizes), -1, np.int64)
+            place[[i for i, _ in found]] = np.arange(len(found))
+            self.levels[level] = (place, both[:, :, 0], both[:, :, 1].astype(np.int16))
+
+    def may_link(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Of the members at `among`, those that may be linked to member i."""
+        n = self.sizes
+        among = among[self.den * np.minimum(n[i], n[among]) >= self.num * np.maximum(n[i], n[among])]
+        out, open_ = [], np.ones(len(among), bool)
+        for place, name, count in self.levels.values():
+            if place[i] < 0:
+                continue
+            mine = np.flatnonzero(open_ & (place[among] >= 0))
+            for j in range(0, len(mine), 4096):
+                pick = mine[j : j + 4096]
+                at = place[among[pick]]
+                gap = np.abs(count[at] - count[place[i]])
+                odd = (name[at] != name[place[i]]) & (gap == 0)
+                least = gap.sum(1) + odd.sum(1) + (odd & (count[at] < 255)).sum(1)
+                out.append(among[pick[(self.den + self.num) * least <= (self.den - self.num) * (n[i] + n[among[pick]])]])
+            open_[mine] = False
+        return np.sort(np.concatenate([*out, among[open_]]))
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -168,104 +282,171 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def _enter(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    names_of = Words()
+    maker = Shingles(k)
     for part in blobs.text_blocks(batches):
-        raw, ends = blobs.text_bytes(part.column("text"))
-        raw, at = raw.tobytes(), ends.tolist()
-        ids = part.column("doc_id").to_pylist()
-        sizes, names, sigs, owners = [], [], [], []
-        seen: set[int] = set()
-        for a, b in zip(at, at[1:], strict=False):
-            s = shingles(raw[a:b], k, names_of)
-            sizes.append(len(s))
-            names.append(set_name(s))
-            if len(s) and names[-1] not in seen:
-                seen.add(names[-1])
-                sigs.append(signatures(s, num, den))
-                owners.append((names[-1], len(sigs[-1])))
-        known = np.asarray([i is not None for i in ids])
-        doc = np.asarray([i if i is not None else 0 for i in ids], np.int64)
-        name = np.asarray(names, np.int64)
-        rows = list(blobs.deal(spread(name ^ doc, buckets), [doc, known, np.asarray(sizes, np.int64), name], META))
-        if sigs:
-            sig = np.concatenate(sigs)
-            owner = np.repeat(np.asarray([o[0] for o in owners], np.int64), [o[1] for o in owners])
-            rows += blobs.deal(spread(sig, buckets), [sig, owner], SIGNATURES)
+        names, bounds = maker.sets(*blobs.text_bytes(part.column("text")))
+        name, size = set_names(names, bounds), np.diff(bounds)
+        known = np.asarray(part.column("doc_id").is_valid())
+        doc = part.column("doc_id").fill_null(0).to_numpy()
+        rows = list(blobs.deal(spread(name ^ doc, buckets), [doc, known, size, name], META))
+        _, once = np.unique(name, return_index=True)
+        sig, owner, sketch, drawn = signatures(names, bounds, once[size[once] > 0], num, den)
+        rows += blobs.deal(spread(sig, buckets), [sig, name[owner]], SIGNATURES)
+        rows += blobs.deal(spread(name[drawn], buckets), [name[drawn], sketch], SKETCHES)
         yield blobs.batch(rows)
 
 
-SCANNED = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
-SCANNED_DDL = "kind int, a long, b long, c long"
-DOC, STAR, ENTRY = range(3)
+SCANNED = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("sketch", pa.binary())])
+SCANNED_DDL = "kind int, a long, b long, c long, sketch binary"
+DOC, SKETCH, ENTRY = range(3)
+
+
+def _scanned(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, nulls: np.ndarray | None = None, sketch: list | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64(), mask=nulls), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(sketch or [None] * len(a), pa.binary())], schema=SCANNED)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as (DOC, id, size, set); lists of two sets or more as (STAR, least member, member, null) and (ENTRY, list,
-    member, null), a list that repeats within the partition once."""
+    """Documents as (DOC, id, size, set), sketches as (SKETCH, set, …), and lists of two sets or more as (ENTRY, list,
+    member, length), a list that repeats within the partition once."""
     got = blobs.collected(batches)
-    make = lambda kind, a, b, c, nulls=None: pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64(), mask=nulls), pa.array(b, pa.int64()), pa.array(c, pa.int64())], schema=SCANNED)
     if META in got:
         doc, known, size, name = blobs.merge(got[META])
-        yield make(DOC, doc, size, name, ~known)
+        yield _scanned(DOC, doc, size, name, ~known)
+    if SKETCHES in got:
+        for owner, raw in got.pop(SKETCHES):
+            starts = np.flatnonzero(new_groups(owner))
+            data = raw.tobytes()
+            text = [data[i:j] for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(data)], strict=True)]
+            yield _scanned(SKETCH, owner[starts], starts, starts, None, text)
     if SIGNATURES not in got:
         return
     sig, owner = blobs.merge(got.pop(SIGNATURES))
     order = np.lexsort((owner, sig))
     sig, owner = sig[order], owner[order]
-    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])])
+    fresh = new_groups(sig, owner)
     sig, owner = sig[fresh], owner[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    starts = np.flatnonzero(new_groups(sig))
     size = np.diff(np.concatenate([starts, [len(sig)]]))
     shared = np.repeat(size > 1, size)
     sig, owner = sig[shared], owner[shared]
     if not len(sig):
         return
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    starts = np.flatnonzero(new_groups(sig))
     size = np.diff(np.concatenate([starts, [len(sig)]]))
     content = np.add.reduceat(mix(owner.view(np.uint64)), starts) + size.astype(np.uint64)
     _, once = np.unique(content, return_index=True)  # equal member sets are one list
     keep = np.zeros(len(starts), bool)
     keep[once] = True
-    member, lists, lead = owner[np.repeat(keep, size)], np.repeat(content[keep], size[keep]).view(np.int64), np.repeat(owner[starts[keep]], size[keep])
-    yield make(ENTRY, lists, member, np.zeros(len(member), np.int64))
-    pairs = np.unique(np.stack([lead, member], 1)[lead != member], axis=0)
-    yield make(STAR, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
+    member, lists = owner[np.repeat(keep, size)], np.repeat(content[keep], size[keep]).view(np.int64)
+    yield _scanned(ENTRY, lists, member, np.repeat(size[keep], size[keep]))
+
+
+PAIRS_DDL = "a long, b long"
+LEADERS, ACROSS = "leaders", "across"
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names_of = Words()
+def _pairs_of(rows: list[tuple], how: str, num: int, den: int) -> Iterator[tuple[int, int]]:
+    members = sorted({r[0]: r for r in rows}.values())
+    sets, sizes, comps, sketches = ([r[i] for r in members] for i in range(4))
+    if how == ACROSS and len(set(comps)) == 1:
+        return
+    index = Members(sizes, sketches, num, den)
+    comp, leads = np.asarray(comps), np.zeros(len(members), bool)
+    for i in range(len(members)):
+        among = np.flatnonzero(leads[:i]) if how == LEADERS else np.flatnonzero(comp[:i] != comp[i])
+        close = index.may_link(i, among)
+        if how == LEADERS:
+            leads[i] = not len(close)
+            close = close[:1]
+        for j in close.tolist():
+            yield sets[j], sets[i]
+
+
+def _list_pairs(batches: Iterator[pa.RecordBatch], how: str, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b) to verify from lists that come sorted by list: with LEADERS each member and the first earlier leader
+    that it may be linked to, or else it leads; with ACROSS all that may be linked and aren't in one component."""
+    known: set[tuple[int, int]] = set()  # pairs repeat from list to list; bounded, the rest is left to distinct()
+    out: list[tuple[int, int]] = []
+
+    def lists() -> Iterator[list[tuple]]:
+        at, rows = None, []
+        for batch in batches:
+            for list_, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if list_ != at:
+                    yield rows
+                    at, rows = list_, []
+                rows.append((row[0], row[1], row[2], row[3] or b""))
+        yield rows
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    for rows in lists():
+        if len(rows) < 2:
+            continue
+        for pair in _pairs_of(rows, how, num, den):
+            if pair not in known:
+                known.add(pair)
+                out.append(pair)
+        if len(out) >= 20_000:
+            yield made()
+            out = []
+        if len(known) > 200_000:
+            known.clear()
+    if out:
+        yield made()
+
+
+def list_pairs(members: DataFrame, how: str, num: int, den: int, partitions: int) -> DataFrame:
+    """members(list, set, n, comp, sketch) -> distinct pairs(a, b); one list is held at a time."""
+    ordered = members.select("list", "set", "n", "comp", "sketch").repartition(partitions, "list").sortWithinPartitions("list")
+    return ordered.mapInArrow(lambda b: _list_pairs(b, how, num, den), PAIRS_DDL).distinct()
+
+
+def _packed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, set, text compressed)."""
+    maker, squeeze = Shingles(k), zstandard.ZstdCompressor(level=1)
     for part in blobs.text_blocks(batches):
         raw, ends = blobs.text_bytes(part.column("text"))
-        raw, at = raw.tobytes(), ends.tolist()
-        found = [shingles(raw[a:b], k, names_of) for a, b in zip(at, at[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "shingles"])
+        name = set_names(*maker.sets(raw, ends))
+        text = [squeeze.compress(raw[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(name), pa.array(text, pa.binary())], ["doc_id", "set", "text"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    maker, open_ = Shingles(k), zstandard.ZstdDecompressor()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            b = batch.slice(at, 512)
+            columns = [b.column(c).to_pylist() for c in ("a", "b", "x", "y")]
+            texts = dict(zip(columns[0] + columns[1], columns[2] + columns[3], strict=True))
+            sets = dict(zip(texts, maker.of_texts([open_.decompress(t) for t in texts.values()]), strict=True))
+            ok = [linked(sets[x], sets[y], num, den) for x, y in zip(columns[0], columns[1], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
 SALT = 1024
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """pairs(a, b) of set names, with `ok`. Sets are read again from one document each; a set in many pairs is copied to as
-    many salts as its pairs fill, so that no task gets them all."""
+    """pairs(a, b) of set names, with `ok`. Texts, compressed, come from one document of each set; a set in many pairs is
+    copied to as many salts as its pairs fill, so that no task gets them all."""
     wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).groupBy("set").agg(F.count("*").alias("uses"))
-    wanted = wanted.join(sets.select("set", "rep"), "set")
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    # an id may come with several texts; only the wanted sets stay
-    held = texts.mapInArrow(lambda b: _sets(b, k), "set long, shingles binary").dropDuplicates(["set"]).join(wanted.select("set", "uses"), "set")
-    held = written(held, "sets")
-    copies = held.select("set", "shingles", F.explode(F.sequence(F.lit(0), F.floor(F.col("uses") / SALT).cast("int"))).alias("salt"))
-    uses = held.select("set", (F.floor(F.col("uses") / SALT) + 1).alias("n"))
-    p = pairs.join(uses.select(F.col("set").alias("a"), F.col("n").alias("an")), "a").join(uses.select(F.col("set").alias("b"), F.col("n").alias("bn")), "b")
-    p = p.select("a", "b", F.pmod(F.xxhash64("b"), F.col("an")).cast("int").alias("sa"), F.pmod(F.xxhash64("a"), F.col("bn")).cast("int").alias("sb"))
-    p = p.join(copies.select(F.col("set").alias("a"), F.col("salt").alias("sa"), F.col("shingles").alias("x")), ["a", "sa"])
-    p = p.join(copies.select(F.col("set").alias("b"), F.col("salt").alias("sb"), F.col("shingles").alias("y")), ["b", "sb"])
-    return p.select("a", "b", "x", "y").mapInArrow(lambda b: _verify(b, num, den), "a long, b long, ok boolean")
+    wanted = written(wanted.join(sets.select("set", F.col("rep").alias("doc_id")), "set"), "wanted")
+    packed = docs.mapInArrow(lambda b: _packed(b, k), "doc_id long, set long, text binary")
+    # an id may come with several texts, and rows may repeat: one row of each wanted set stays
+    one = Window.partitionBy("doc_id", "set").orderBy(F.lit(1))
+    held = packed.join(wanted, ["doc_id", "set"]).withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    held = written(held.select("set", "uses", "text"), "texts")
+    salts = lambda uses: F.floor(uses / SALT).cast("int")
+    copies = held.select("set", "text", F.explode(F.sequence(F.lit(0), salts(F.col("uses")))).alias("salt"))
+    uses = held.select("set", (salts(F.col("uses")) + 1).alias("n")).where("n > 1")
+    p = pairs.join(uses.select(F.col("set").alias("a"), F.col("n").alias("an")), "a", "left").join(uses.select(F.col("set").alias("b"), F.col("n").alias("bn")), "b", "left")
+    spot = lambda other, n: F.pmod(F.xxhash64(other), F.coalesce(F.col(n), F.lit(1)).cast("long")).cast("int")
+    p = p.select("a", "b", spot("b", "an").alias("sa"), spot("a", "bn").alias("sb"))
+    p = p.join(copies.select(F.col("set").alias("a"), F.col("salt").alias("sa"), F.col("text").alias("x")), ["a", "sa"])
+    p = p.join(copies.select(F.col("set").alias("b"), F.col("salt").alias("sb"), F.col("text").alias("y")), ["b", "sb"])
+    return p.select("a", "b", "x", "y").mapInArrow(lambda b: _verify(b, k, num, den), "a long, b long, ok boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,17 +473,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entered = d.mapInArrow(lambda b: _enter(b, shingle, num, den, buckets), blobs.DDL)
     scanned = written(blobs.exchange(entered, partitions).mapInArrow(_scan, SCANNED_DDL), "scanned")
     rows = scanned.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("set"))
-    sets = rows.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"))
-    stars = scanned.where(F.col("kind") == STAR).groupBy(F.col("b").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    sets = rows.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    sketches = scanned.where(F.col("kind") == SKETCH).groupBy(F.col("a").alias("set")).agg(F.min("sketch").alias("sketch"))
+    entries = scanned.where(F.col("kind") == ENTRY).select(F.col("a").alias("list"), F.col("b").alias("set"))
+    # sets that only rows without an id have drop out here
+    members = entries.join(sets.select("set", "n"), "set").join(sketches, "set", "left").withColumn("comp", F.col("set"))
+    members = written(members, "members")
     live = d.where("doc_id is not null")
-    first = written(verified(stars, live, sets, shingle, num, den), "stars")
+    pairs = written(list_pairs(members, LEADERS, num, den, partitions), "leaders")
+    first = written(verified(pairs, live, sets, shingle, num, den), "stars")
     labels = components(first.where("ok"))
-    entries = scanned.where(F.col("kind") == ENTRY).select(F.col("a").alias("list"), F.col("b").alias("set"))
-    placed = entries.join(labels.withColumnRenamed("node", "set"), "set", "left").select("list", "set", F.coalesce("comp", "set").alias("comp"))
+    placed = members.drop("comp").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     mixed = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("list")
-    placed = written(placed.join(mixed, "list", "left_semi"), "mixed")
-    x, y = placed.select("list", F.col("set").alias("a"), F.col("comp").alias("ca")), placed.select("list", F.col("set").alias("b"), F.col("comp").alias("cb"))
-    across = x.join(y, "list").where("ca <> cb and a < b").select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    across = list_pairs(placed.join(mixed, "list", "left_semi"), ACROSS, num, den, partitions).join(first.select("a", "b"), ["a", "b"], "left_anti")
     across = written(across, "across")
     if across.limit(1).count():
         second = written(verified(across, live, sets, shingle, num, den), "pairs")

@@ -2,8 +2,8 @@
 
 Labelled page outcomes are counted by host, registered domain and suffix. Each level's bad rate is shrunk towards its
 parent's by a beta prior whose strength is estimated from the spread between the children (method of moments); a page is
-blocked if the lower posterior bound of its host's bad rate exceeds `max_bad`. Hosts without labels take their nearest
-labelled ancestor's posterior.
+blocked if the lower posterior bound of its host's bad rate exceeds `max_bad`. Hosts without labels have their prior as
+posterior. Counts and posteriors are tables, one row for each host, domain or suffix.
 
 Edge cases: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the overall
 rate; null or repeated page ids and ties pass through, one output row for each input row; empty labels allow all that
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklore.llm.common import ascii_lower, table
+from worklore.llm.common import ascii_lower, table, written
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 LEVELS = ("suffix", "domain", "host")
@@ -56,40 +56,35 @@ def _strength(groups: DataFrame) -> float:
     return min(MOST, max(LEAST, 1 / rho - 1)) if rho > 0 else MOST
 
 
-def host_reputation(outcomes: DataFrame) -> tuple[DataFrame, float, float]:
-    """outcomes(host, bad 0/1) -> (host, domain, suffix, a, b), the posterior of each labelled host, and the overall
-    a and b. Three small jobs gather one row of sums each."""
-    hosts = _levels(outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
+def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
+    """hosts(host, n, bad), n being 0 for hosts without labels -> (host, bad_bound): the lower posterior bound. Each
+    level's prior is its parent's posterior mean, at the strength estimated for that level."""
+    hosts = _levels(hosts)
     n, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    a0, b0 = float(bad) + 1, float(n - bad) + 1
-    out, mean = hosts, F.lit(a0 / (a0 + b0))
+    above, mean, parent = None, F.lit((bad + 1) / (n + 2)), None
     for level in LEVELS:
-        groups = hosts.groupBy(level).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        k = _strength(groups)
-        out = out.join(groups.select(level, F.col("n").alias(f"n_{level}"), F.col("bad").alias(f"bad_{level}")), level)
-        a, b = mean * k + F.col(f"bad_{level}"), (1 - mean) * k + F.col(f"n_{level}") - F.col(f"bad_{level}")
-        out = out.withColumn(f"a_{level}", a).withColumn(f"b_{level}", b)
-        mean = F.col(f"a_{level}") / (F.col(f"a_{level}") + F.col(f"b_{level}"))
-    return out.select(*LEVELS, *[f"{x}_{level}" for level in LEVELS for x in "ab"]), a0, b0
+        own = hosts.groupBy(level, *([parent] if parent else [])).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+        k = _strength(own.where("n > 0"))
+        if above is not None:
+            own = own.join(above.select(parent, F.col("mean").alias("up")), parent)
+            mean = F.col("up")
+        a, b = mean * k + F.col("bad"), (1 - mean) * k + F.col("n") - F.col("bad")
+        above, parent = written(own.select(level, (a / (a + b)).alias("mean"), a.alias("a"), b.alias("b")), level), level
+    a, b = F.col("a"), F.col("b")
+    return above.select("host", (a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("bad_bound"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rules=RULES, z: float = Z, max_bad: float = MAX_BAD) -> DataFrame:
     """Add host, path, rule, bad_bound and verdict to pages. outcomes(url, bad): labelled pages."""
-    seen = outcomes.where(F.col("bad").isNotNull()).select(url_parts(F.col(url_col))[0].alias("host"), "bad")
-    rep, a0, b0 = host_reputation(seen)
     host, path = url_parts(F.col(url_col))
+    labelled = outcomes.where(F.col("bad").isNotNull()).select(host.alias("host"), F.lit(1).alias("n"), F.col("bad").cast("int").alias("bad"))
+    zero = F.lit(0)
+    every = labelled.unionByName(pages.select(host.alias("host"), zero.alias("n"), zero.alias("bad")))
+    hosts = written(every.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "hosts")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    drop = [c for c in ("host", "path", "rule", "verdict", "bad_bound", "domain", "suffix") if c in pages.columns]
-    judged = _levels(pages.drop(*drop).withColumn("host", host).withColumn("path", path))
-    by_host = rep.select("host", F.col("a_host").alias("a"), F.col("b_host").alias("b"))
-    by_domain = rep.groupBy("domain").agg(F.min("a_domain").alias("da"), F.min("b_domain").alias("db"))
-    by_suffix = rep.groupBy("suffix").agg(F.min("a_suffix").alias("sa"), F.min("b_suffix").alias("sb"))
-    judged = judged.join(by_host, "host", "left").join(by_domain, "domain", "left").join(by_suffix, "suffix", "left")
-    a, b = F.coalesce("a", "da", "sa", F.lit(a0)), F.coalesce("b", "db", "sb", F.lit(b0))
-    bound = a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    judged = judged.withColumn("rule", rule).withColumn("bad_bound", bound)
-    judged = judged.withColumn("verdict", F.coalesce(verdict, F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")))
-    return judged.drop("domain", "suffix", "a", "b", "da", "db", "sa", "sb")
+    drop = [c for c in ("host", "path", "rule", "verdict", "bad_bound") if c in pages.columns]
+    judged = pages.drop(*drop).withColumn("host", host).withColumn("path", path).join(host_reputation(hosts, z), "host", "left").withColumn("rule", rule)
+    return judged.withColumn("verdict", F.coalesce(verdict, F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

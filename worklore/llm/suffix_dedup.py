@@ -105,8 +105,8 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Itera
         raw, ends = blobs.text_bytes(part.column("text"))
         ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         tag = tags(part.column("text"), raw, ends)
-        # a block is one text if that is longer than POSITION_BITS can number: then it goes in overlapping parts
-        step = (1 << POSITION_BITS) - length
+        # a longer text is a block of its own, and goes in parts that overlap by less than a string
+        step = min(blobs.BLOCK_BYTES, 1 << POSITION_BITS) - length
         for at in range(0, max(1, len(raw)), step):
             piece = raw[at : at + step + length - 1]
             found = runs_of(piece, np.clip(ends - at, 0, len(piece)), length)
@@ -209,6 +209,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> I
     checks = blobs.merge(marks[CHECKS])
     spans = _grouped(checks)
     doc, tag, key, first, off, reach = checks
+    held, n = [], 0
     for (ids, tagged, sizes), packed in texts:
         (raw,) = blobs.decode(packed)
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -228,8 +229,15 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> I
         window[np.arange(width) >= (length + reach[rows_at].astype(np.int64))[:, None]] = 0
         columns = [key[rows_at], doc[rows_at], tag[rows_at], first[rows_at], off[rows_at], reach[rows_at]]
         columns += [np.ascontiguousarray(window[:, 8 * j : 8 * j + 8]).view(np.uint64)[:, 0] for j in range(width // 8)]
-        where = spread(columns[0], buckets)
-        yield blobs.batch(list(blobs.deal(where, columns, CONTEXTS)))
+        held.append(columns)
+        n += len(rows_at)
+        if n >= 100_000:
+            columns = blobs.merge(held)
+            yield blobs.batch(list(blobs.deal(spread(columns[0], buckets), columns, CONTEXTS)))
+            held, n = [], 0
+    if held:
+        columns = blobs.merge(held)
+        yield blobs.batch(list(blobs.deal(spread(columns[0], buckets), columns, CONTEXTS)))
 
 
 def _refined(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:

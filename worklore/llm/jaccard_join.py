@@ -12,8 +12,8 @@ between light and heavy is where the subsets begin to cost more than `LIGHT_COST
 link's reach of it enter both ways. No link is lost: docstrings of `light_sizes` and `heavy_level` give the bounds.
 
 Candidates are verified on whole sets. Only components are asked for, so within a list each member is first paired with
-one leader; lists whose members are in one component then need no more, and in the rest members of different components
-are paired. Members are paired only if their sketches (a byte of each part's name, and its size) allow a link; so a part
+one leader, then with the closest member of another component; lists whose members are in one component need no more,
+and in the rest all members of different components are paired. Members are paired only if their sketches (a byte of each part's name, and its size) allow a link; so a part
 that a common passage fills costs comparisons of bytes within its list, and no rows. No step lists all pairs of a group
 of copies.
 
@@ -190,9 +190,10 @@ def light_signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def heavy_signatures(names: np.ndarray, bounds: np.ndarray, which: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
     """(signatures, set of each; sketch bytes, set of each): the inverted lists that sets enter, a set being at `which` and entering class `level`:
-    one for each of the class's parts that holds shingles. If more parts are empty than the class's slack, the empty parts
-    are named too: of two linked sets either one has few empty parts, and they agree on one that isn't, or both name
-    theirs."""
+    one for each of the class's parts, but for those of few
+    shingles. Linked sets agree on more parts than the slack, and each leaves out only parts of so few shingles that
+    these are no more than the slack (if even the empty ones are more, it leaves out none); so of the parts on which they
+    agree, one is named by the set that leaves out more, and then by both."""
     shape = {v: parts(classes(num, den)[v], num, den) for v in np.unique(level).tolist()}
     m, slack = (np.asarray([shape[v][i] for v in level.tolist()], np.int64) for i in (0, 1))
     size = bounds[which + 1] - bounds[which]
@@ -206,8 +207,16 @@ def heavy_signatures(names: np.ndarray, bounds: np.ndarray, which: np.ndarray, l
     sketch, place = np.zeros(2 * m.sum(), np.uint8), 2 * ((np.cumsum(m) - m)[row] + part.astype(np.int64))
     sketch[place] = (mix(sums) & np.uint64(255)).astype(np.uint8)
     sketch[place + 1] = np.minimum(255, np.diff(np.concatenate([starts, [len(x)]])))
-    empty = m - np.bincount(row, minlength=len(which))
-    for r in np.flatnonzero(empty > slack).tolist():
+    count = np.minimum(255, np.diff(np.concatenate([starts, [len(x)]])))
+    # what each set leaves out: the parts of the most shingles at which these are no more than the slack
+    least = np.zeros((len(which), 8), np.int64)
+    np.add.at(least, (row, np.minimum(count, 7)), 1)
+    least[:, 0] = m - least[:, 1:].sum(1)
+    left_out = np.cumsum(least, axis=1)
+    bar = (left_out[:, :7] <= slack[:, None]).sum(1) - 1  # -1: even the empty parts are named
+    named = count > bar[row]
+    sums, part, row = sums[named], part[named], row[named]
+    for r in np.flatnonzero(bar < 0).tolist():
         none = np.setdiff1d(np.arange(m[r], dtype=np.uint64), part[row == r])
         sums, part, row = np.concatenate([sums, np.zeros(len(none), np.uint64)]), np.concatenate([part, none]), np.concatenate([row, np.full(len(none), r)])
     return mix(sums + (part + level_of[row]) * np.uint64(0xC2B2AE3D27D4EB4F)), which[row], sketch, np.repeat(which, 2 * m)
@@ -257,10 +266,10 @@ class Members:
             self.levels[level] = (place, both[:, :, 0], both[:, :, 1].astype(np.int16))
 
     def may_link(self, i: int, among: np.ndarray) -> np.ndarray:
-        """Of the members at `among`, those that may be linked to member i."""
+        """Of the members at `among`, those that may be linked to member i, the closest by sketch first."""
         n = self.sizes
         among = among[self.den * np.minimum(n[i], n[among]) >= self.num * np.maximum(n[i], n[among])]
-        out, open_ = [], np.ones(len(among), bool)
+        out, far, open_ = [], [], np.ones(len(among), bool)
         for place, name, count in self.levels.values():
             if place[i] < 0:
                 continue
@@ -271,9 +280,13 @@ class Members:
                 gap = np.abs(count[at] - count[place[i]])
                 odd = (name[at] != name[place[i]]) & (gap == 0)
                 least = gap.sum(1) + odd.sum(1) + (odd & (count[at] < 255)).sum(1)
-                out.append(among[pick[(self.den + self.num) * least <= (self.den - self.num) * (n[i] + n[among[pick]])]])
+                ok = (self.den + self.num) * least <= (self.den - self.num) * (n[i] + n[among[pick]])
+                out.append(among[pick[ok]])
+                far.append(least[ok])
             open_[mine] = False
-        return np.sort(np.concatenate([*out, among[open_]]))
+        rest = among[open_]
+        found, far = np.concatenate([*out, rest]), np.concatenate([*far, np.zeros(len(rest), np.int64)])
+        return found[np.lexsort((found, far))]
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -342,29 +355,28 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 PAIRS_DDL = "a long, b long"
-LEADERS, ACROSS = "leaders", "across"
+LEADERS, NEAREST, ACROSS = "leaders", "nearest", "across"
 
 
 def _pairs_of(rows: list[tuple], how: str, num: int, den: int) -> Iterator[tuple[int, int]]:
     members = sorted({r[0]: r for r in rows}.values())
     sets, sizes, comps, sketches = ([r[i] for r in members] for i in range(4))
-    if how == ACROSS and len(set(comps)) == 1:
+    if how != LEADERS and len(set(comps)) == 1:
         return
     index = Members(sizes, sketches, num, den)
     comp, leads = np.asarray(comps), np.zeros(len(members), bool)
     for i in range(len(members)):
-        among = np.flatnonzero(leads[:i]) if how == LEADERS else np.flatnonzero(comp[:i] != comp[i])
+        among = np.flatnonzero(leads[:i]) if how == LEADERS else np.flatnonzero((comp if how == NEAREST else comp[:i]) != comp[i])
         close = index.may_link(i, among)
         if how == LEADERS:
             leads[i] = not len(close)
-            close = close[:1]
-        for j in close.tolist():
-            yield sets[j], sets[i]
+        for j in close[:1].tolist() if how != ACROSS else close.tolist():
+            yield min(sets[i], sets[j]), max(sets[i], sets[j])
 
 
 def _list_pairs(batches: Iterator[pa.RecordBatch], how: str, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) to verify from lists that come sorted by list: with LEADERS each member and the first earlier leader
-    that it may be linked to, or else it leads; with ACROSS all that may be linked and aren't in one component."""
+    """Pairs (a < b) to verify from lists that come sorted by list: with LEADERS each member and the closest earlier leader
+    that it may be linked to, or else it leads; with NEAREST each and the closest of another component; with ACROSS all that may be linked and aren't in one component."""
     known: set[tuple[int, int]] = set()  # pairs repeat from list to list; bounded, the rest is left to distinct()
     out: list[tuple[int, int]] = []
 
@@ -481,15 +493,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = written(members, "members")
     live = d.where("doc_id is not null")
     pairs = written(list_pairs(members, LEADERS, num, den, partitions), "leaders")
-    first = written(verified(pairs, live, sets, shingle, num, den), "stars")
-    labels = components(first.where("ok"))
-    placed = members.drop("comp").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    mixed = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("list")
-    across = list_pairs(placed.join(mixed, "list", "left_semi"), ACROSS, num, den, partitions).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    across = written(across, "across")
-    if across.limit(1).count():
-        second = written(verified(across, live, sets, shingle, num, den), "pairs")
-        labels = components(first.where("ok").unionByName(second.where("ok")))
+    tried = written(verified(pairs, live, sets, shingle, num, den), LEADERS)
+    labels = components(tried.where("ok"))
+    for how in (NEAREST, ACROSS):
+        placed = members.drop("comp").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+        mixed = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("list")
+        more = list_pairs(placed.join(mixed, "list", "left_semi"), how, num, den, partitions).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        more = written(more, how)
+        if not more.limit(1).count():
+            continue
+        tried = written(tried.unionByName(verified(more, live, sets, shingle, num, den)), how)
+        labels = components(tried.where("ok"))
     least = sets.join(labels, sets["set"] == labels["node"], "left").select("set", "rep", F.coalesce("comp", "set").alias("comp"))
     by_comp = least.groupBy("comp").agg(F.min("rep").alias("component"))
     named = least.join(by_comp, "comp").select("set", "component")

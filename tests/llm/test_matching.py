@@ -208,6 +208,18 @@ def test_leaks(spark, rate, least):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def found(items, texts):
+    index = decontaminate.ItemIndex(items)
+    sym, _, ends = index.alphabet.codes(texts)
+    return {(text, item): edits for text, item, edits, _, _ in index.verify(sym, ends)}
+
+
+def test_leak_that_lacks_the_items_first_letters():
+    for _, item in leaks()[1][:12]:
+        hits = found([(3, item)], [item[9:], item[9:]])  # the first text and one with another before it
+        assert len(hits) == 2 and hits[0, 0] == hits[1, 0]
+
+
 def test_no_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     d = spark.createDataFrame([(1, "a")], "doc_id long, text string")

@@ -180,7 +180,7 @@ class ItemIndex:
         for text, item, at in self.candidates(sym, ends).tolist():
             n = len(self.items[item])
             k = int(MAX_EDITS * n)
-            if tried.get((text, item), -1) >= at:
+            if (text, item) in tried and tried[text, item] >= at:
                 continue  # a place next to one that has just been searched
             tried[text, item] = at + k // 2
             a, b = max(int(ends[text]), at - k), min(int(ends[text + 1]), at + n + 2 * k)

@@ -220,6 +220,26 @@ def test_leak_that_lacks_the_items_first_letters():
         assert len(hits) == 2 and hits[0, 0] == hits[1, 0]
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.15, 0.2])
+def test_no_leak_within_the_edits_is_missed(rate):
+    rng = random.Random(int(100 * rate))
+    prose = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    items = [(i, prose(n)) for i, n in enumerate([20, 24, 39, 40, 60, 80, 90, 99, 100, 150, 300, 399, 400, 401, 900, 2500])]
+    texts, planted = [], {}
+    for again in range(6):
+        for i, item in items:
+            q, k = list(item), int(rate * len(item))
+            for _ in range(k):
+                at, kind = rng.randrange(len(q)), (again + rng.randrange(3)) % 3 if again < 5 else 1
+                q[at : at + (kind != 0)] = [] if kind == 1 else ["x"]
+            planted[len(texts), i] = k
+            texts.append(prose(rng.choice([0, 1, 50, 700])) + "".join(q) + prose(rng.choice([0, 2, 300])))
+    got = found(items, texts)
+    assert {p for p, k in planted.items() if got.get(p, k + 1) > k} == set()
+    alone = [found(items, [t]) for t in texts[:32]]
+    assert all({(n, i): e for (_, i), e in one.items()} == {p: e for p, e in got.items() if p[0] == n} for n, one in enumerate(alone))
+
+
 def test_no_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     d = spark.createDataFrame([(1, "a")], "doc_id long, text string")

@@ -1,12 +1,13 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact pieces, exact edit verification.
 
 Texts are normalised to lower-case letters and digits. Item windows are taken at every offset, document windows at a
 stride, so that a copy of an item holds document windows that line up with an item's whatever its place. The CGK walk
 maps a window to a sequence of symbols: at step j it emits the symbol under its pointer, which moves on or stays by a
 random bit of (j, symbol); windows at a small edit distance come out at a small Hamming distance. Each table samples some
-steps of a walk; equal samples make a candidate. Walks and samples are repeated until the chance to miss an item, whose
-windows each differ in `DIFFER` of the steps, is below 1 - RECALL. Candidates are verified by exact edit distance of the
-whole item to its best place in the document.
+steps of a walk; equal samples make a candidate. Walks and samples are repeated, MOST_TABLES tables at most, for windows
+that differ in `DIFFER` of the steps; this alone misses copies with more edits. So items are also cut into short pieces,
+which are counted by diagonals of the document: a place within MAX_EDITS always keeps so many pieces whole (`Pieces`), and
+no item is missed. Candidates are verified by exact edit distance of the whole item to its best place in the document.
 
 Window sizes follow the items: items are in classes by length, each with its own window and stride; items too short for
 a class are looked up as exact strings. Items go in blocks of bounded size, each sent to all executors.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ CLASSES = ((80, 48, 32, 72), (40, 24, 16, 36), (20, 12, 8, 18))
 LEAST = 8  # shorter items than this match nothing
 SAMPLES, DIFFER, RECALL, MOST_TABLES = 12, 0.08, 0.95, 6
 TABLES_PER_WALK = 3
+#: (least item length, symbols to a piece): the shorter an item, the fewer pieces it has, and the more of them it must keep
+PIECES = ((100, 4), (40, 3), (20, 2))
+PART, BANDS, GRAM_BITS, BINS = 400, 4, 20, 2 << 20
 BLOCK_CHARS = 4 << 20
 
 
@@ -107,8 +112,96 @@ def edit_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, where
 
 
+def grams(sym: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` symbols."""
+    h = np.zeros(max(0, len(sym) - size + 1), np.uint32)
+    for k in range(size):
+        h = (h + sym[k : k + len(h)]) * np.uint32(0x9E3779B1)
+    return h >> np.uint32(32 - GRAM_BITS)
+
+
+class Pieces:
+    """Items cut into pieces of `size` symbols that don't overlap. Each of k edits spoils one piece at most, and the others
+    are shifted by at most k against each other, so a place within k edits has all pieces but k on k + 1 neighbouring
+    diagonals. Pieces are counted in bins of diagonals, BANDS + 1 of which hold any k + 1 neighbours: no place is missed. What comes in are parts of items, as
+    (item, offset, symbols): of an item within MAX_EDITS, some part is so too."""
+
+    def __init__(self, parts: list[tuple[int, int, np.ndarray]], size: int):
+        owner, lead, items = zip(*parts, strict=True)
+        n = np.asarray([len(x) for x in items])
+        many, edits = n // size, (MAX_EDITS * n).astype(np.int64)
+        self.items, self.lead, self.size, self.least, self.reach = np.asarray(owner), np.asarray(lead), size, many - edits, int((n + edits).max())
+        self.width = np.maximum(1, -(-edits // BANDS))
+        names = np.concatenate([grams(x, size)[::size] for x in items])
+        order = np.argsort(names, kind="stable")
+        self.owner = np.repeat(np.arange(len(items)), many)[order]
+        self.offset = np.concatenate([np.arange(m) * size for m in many])[order]
+        self.count = np.bincount(names, minlength=1 << GRAM_BITS).astype(np.int32)
+        self.first = (np.cumsum(self.count) - self.count).astype(np.int32)
+        self.edits, self.triples = edits, [grams(x, 3) for x in items]
+
+    def places(self, sym: np.ndarray) -> np.ndarray:
+        """Rows (item, least and greatest place of its start) where enough pieces are on neighbouring diagonals."""
+        names, out = grams(sym, self.size), []
+        chunk = min(len(names), max(4 * self.reach, min(1 << 17, int(BINS / (1 / self.width).sum()))))
+        bins = (chunk + 2 * self.reach) // self.width + BANDS + 2
+        base = np.cumsum(bins) - bins
+        least = np.repeat(self.least, bins)[: -BANDS]
+        width = self.width[self.owner].astype(np.int32)
+        shift = base[self.owner] * self.width[self.owner] + self.reach - self.offset
+        if (base * self.width).max() + chunk + 2 * self.reach < 1 << 31:
+            shift = shift.astype(np.int32)
+        for c in range(0, len(names), chunk or 1):  # a place whose first whole piece is in a chunk ends within its reach
+            part = names[c : c + chunk + self.reach]
+            n = self.count[part]
+            hit = np.flatnonzero(n)
+            n = n[hit]
+            rows = np.repeat(self.first[part[hit]] - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)
+            at = (np.repeat(hit.astype(np.int32), n) + shift[rows]) // width[rows]
+            sums = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=int(bins.sum())))])
+            full = np.flatnonzero(sums[BANDS + 1 :] - sums[: -BANDS - 1] >= least)
+            full = self.distinct(full, least, at, rows, int(bins.sum()))
+            item = np.searchsorted(base, full, "right") - 1
+            new = np.flatnonzero((np.diff(full, prepend=-2) > 1) | (np.diff(item, prepend=-1) > 0))
+            first, last, item = full[new], full[np.append(new[1:], len(full)) - 1] if len(full) else full, item[new]
+            low = (first - base[item]) * self.width[item] + c - self.reach
+            out.append(np.stack([item, low, np.minimum(len(sym) - 1, low + (last - first + BANDS + 1) * self.width[item] - 1)], 1))
+        return self.close(np.concatenate(out), sym) if out else np.zeros((0, 3), np.int64)
+
+    def close(self, places: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """Those where enough of all the item's runs of three are on these diagonals: an edit spoils three at most."""
+        edge = np.zeros(self.reach, np.uint32)
+        names = grams(np.concatenate([edge, sym, edge]), 3)
+        keep = []
+        for r, (item, low, high) in enumerate(places.tolist()):
+            mine, k, wide = self.triples[item], int(self.edits[item]), high - low + 1
+            if wide < 16 * (k + 1):  # else searching is as cheap
+                near = sliding_window_view(names[low + self.reach : low + self.reach + wide + len(mine) - 1], wide)
+                if np.count_nonzero((near == mine[:, None]).any(1)) < len(mine) - 3 * k:
+                    continue
+            keep.append(r)
+        part, low, high = places[keep].T
+        return np.stack([self.items[part], low - self.lead[part], high - self.lead[part]], 1)
+
+    def distinct(self, full: np.ndarray, least: np.ndarray, at: np.ndarray, rows: np.ndarray, bins: int) -> np.ndarray:
+        """Those of the windows of bins `full` that hold enough pieces when each piece counts once."""
+        some = np.zeros(bins, bool)
+        some[(full[:, None] + np.arange(BANDS + 1)).ravel()] = True
+        mine = np.flatnonzero(some[at])
+        pairs = np.unique(at[mine].astype(np.int64) * len(self.owner) + rows[mine])
+        at, rows = pairs // len(self.owner), pairs % len(self.owner)
+        for again in (False, True):
+            low, high = np.searchsorted(at, full), np.searchsorted(at, full + BANDS + 1)
+            if again:
+                n = high - low
+                every = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                once = np.unique(np.repeat(np.arange(len(full)), n) * len(self.owner) + rows[every])
+                return full[np.bincount(once // len(self.owner), minlength=len(full)) >= least[full]]
+            full = full[high - low >= least[full]]
+
+
 class ItemIndex:
-    """The benchmark block's windows in tables, by class."""
+    """The benchmark block's windows in tables, by class, and its pieces."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.alphabet, self.items, self.ids, self.tables, self.exact = Alphabet(), [], [], [], {}
@@ -135,6 +228,16 @@ class ItemIndex:
                     order = np.argsort(keys, kind="stable")
                     found.append((keys[order], owner[order], offset[order]))
             self.tables.append((window, stride, steps, found))
+        parts = []
+        for i, s in enumerate(self.items):
+            cuts = np.linspace(0, len(s), -(-len(s) // PART) + 1).astype(int).tolist()
+            parts += [(i, a, s[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.pieces, most = [], PART + 1
+        for least, size in PIECES:
+            mine = [x for x in parts if least <= len(x[2]) < most]
+            most = least
+            if mine:
+                self.pieces.append(Pieces(mine, size))
         for i, s in enumerate(self.items):
             if i not in done and len(s) >= LEAST:
                 self.exact.setdefault(len(s), {}).setdefault(zlib.crc32(s.tobytes()), []).append(i)
@@ -173,17 +276,40 @@ class ItemIndex:
                 out.append(np.stack([np.searchsorted(ends, at, "right") - 1, np.full(len(at), i), at], 1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
+    def spans(self, sym: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end) of what to search, each part of a text once for an item."""
+        near = self.candidates(sym, ends)
+        held = np.concatenate([p.places(sym) for p in self.pieces] or [np.zeros((0, 3), np.int64)])
+        n = np.asarray([len(s) for s in self.items])
+        k = (MAX_EDITS * n).astype(np.int64)
+        a, b = np.maximum(0, held[:, 1] - k[held[:, 0]]), np.minimum(len(sym), held[:, 2] + (n + 2 * k)[held[:, 0]])
+        held, a, b = held[a < b], a[a < b], b[a < b]
+        first, last = np.searchsorted(ends, a, "right") - 1, np.searchsorted(ends, b - 1, "right") - 1
+        many = last - first + 1  # texts that a place touches
+        row = np.repeat(np.arange(len(a)), many)
+        text = np.concatenate([near[:, 0], np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())])
+        item = np.concatenate([near[:, 1], held[row, 0]])
+        a = np.maximum(ends[text], np.concatenate([near[:, 2] - k[near[:, 1]], a[row]]))
+        b = np.minimum(ends[text + 1], np.concatenate([near[:, 2] + (n + 2 * k)[near[:, 1]], b[row]]))
+        fit = np.flatnonzero(b - a >= (n - k)[item])
+        order = fit[np.lexsort((a[fit], item[fit], text[fit]))]
+        now = None
+        for t, i, x, y in zip(*(v[order].tolist() for v in (text, item, a, b)), strict=True):
+            if now and now[:2] == (t, i) and x <= now[3]:
+                now = (t, i, now[2], max(y, now[3]))
+                continue
+            if now:
+                yield now
+            now = (t, i, x, y)
+        if now:
+            yield now
+
     def verify(self, sym: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of each item within MAX_EDITS of a place in a text; the best place."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: dict[tuple[int, int], int] = {}
-        for text, item, at in self.candidates(sym, ends).tolist():
+        for text, item, a, b in self.spans(sym, ends):
             n = len(self.items[item])
             k = int(MAX_EDITS * n)
-            if (text, item) in tried and tried[text, item] >= at:
-                continue  # a place next to one that has just been searched
-            tried[text, item] = at + k // 2
-            a, b = max(int(ends[text]), at - k), min(int(ends[text + 1]), at + n + 2 * k)
             edits, end = edit_place(self.items[item], sym[a:b])
             if edits <= k and (edits, a + end) < best.get((text, item), (k + 1, 0, 0))[:2]:
                 best[text, item] = (edits, a + end, max(a, a + end - n))

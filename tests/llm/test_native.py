@@ -50,6 +50,12 @@ def test_pii(docs):
     assert kinds[8] == ["iban", "iban"] and kinds[9].count("ssn") == 2 and kinds[0] == kinds[1] == []
 
 
+def test_addresses_whose_first_part_is_zero(spark):
+    texts = ["0.0.0.0", "bind 00.1.2.3:80", "v0.1.2.3 and 000.000.000.000", "0256.1.1.1 0.0.0.256", "0" * 4000 + ".0.0.1"]
+    for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["pii"] if s["kind"] in pii.BASE_KINDS] == base_pii(r["text"]), r["text"][:40]
+
+
 def test_redact_pii(docs):
     rows = {r["doc_id"]: r["text"] for r in pii.redact_pii(docs).collect()}
     assert rows[8] == "iban [iban] and [iban]" and rows[0] == "" and rows[22] == TEXTS[22]

@@ -56,7 +56,7 @@ def _digits(m: Column) -> Column:
 
 def _confirm(kind: str, m: Column) -> Column | None:
     if kind == "ip":
-        return m.rlike(r"^0*+(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$")
+        return m.rlike(r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$")
     if kind == "card":
         return let(_digits(m), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False))
     if kind == "phone":

@@ -121,6 +121,16 @@ def test_frequent_lines(spark):
     assert all(got[200 + i]["kept"] for i in range(12)) and got[300]["removed_words"] == 0
 
 
+def test_repeated_rows_lose_a_frequent_line_once(spark):
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    line, last = "this same line of text is found in each one of them", "and so is a last one of these ten words"
+    rows = [(i, f"{line}\n{own(i, 14)}\n{last}", "a") for i in range(12)]
+    rows += [rows[3]] * 40 + [rows[4]] + [(None, rows[5][1], "a")] * 3 + [(6, f"{line}\n{own(99, 14)}", "a"), (7, rows[7][1], "b")]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), min_docs=10).collect()
+    assert len(got) == len(rows) and all(r["kept"] for r in got)
+    assert collections.Counter((r["doc_id"], r["removed_words"]) for r in got) == collections.Counter([(i, 22) for i, _, _ in rows[:-2]] + [(6, 12), (7, 0)])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert pii.find_pii(none).count() == 0 and quality_rules.quality_rules(none).count() == 0

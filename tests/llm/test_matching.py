@@ -210,8 +210,8 @@ def test_leaks(spark, rate, least):
 
 def found(items, texts):
     index = decontaminate.ItemIndex(items)
-    sym, _, ends = index.alphabet.codes(texts)
-    return {(text, item): edits for text, item, edits, _, _ in index.verify(sym, ends)}
+    sym, keep, ends = index.alphabet.codes(texts)
+    return {(text, item): edits for text, item, edits, _, _ in index.verify(sym, ends, keep)}
 
 
 def test_leak_that_lacks_the_items_first_letters():
@@ -240,6 +240,14 @@ def test_no_leak_within_the_edits_is_missed(rate):
     assert all({(n, i): e for (_, i), e in one.items()} == {p: e for p, e in got.items() if p[0] == n} for n, one in enumerate(alone))
 
 
+def test_short_items():
+    items = [(0, "4 + 4"), (1, "x"), (2, "Paris!"), (3, "blue whale"), (4, "the speed of light"), (5, "?!")]
+    texts = ["so 4, 4.", "44", "144 x", "In paris", "parish comparis", "Par", "is", "a blu whale", "a blue wale", "bl whole", "the sped of lihgt", "teh sped of lihgt", "x", ""]
+    got = found(items, texts)
+    want = {(0, 0): 0, (1, 0): 0, (2, 1): 0, (3, 2): 0, (7, 3): 1, (8, 3): 1, (10, 4): 3, (12, 1): 0}
+    assert got == want
+
+
 def test_no_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     d = spark.createDataFrame([(1, "a")], "doc_id long, text string")

@@ -10,7 +10,8 @@ which are counted by diagonals of the document: a place within MAX_EDITS always
 no item is missed. Candidates are verified by exact edit distance of the whole item to its best place in the document.
 
 Window sizes follow the items: items are in classes by length, each with its own window and stride; items too short for
-a class are looked up as exact strings. Items go in blocks of bounded size, each sent to all executors.
+a class are found by their pieces alone, and those of fewer than LEAST letters and digits as exact strings between word
+bounds, without edits. Items go in blocks of bounded size, each sent to all executors.
 
 Edge cases: null or empty documents have no hits, items without letters or digits match nothing; null ids pass through;
 repeated documents give rows each, repeated items a row for each item id; an empty benchmark gives an empty result.
@@ -18,7 +19,6 @@ repeated documents give rows each, repeated items a row for each item id; an emp
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +34,11 @@ from worklore.llm.common import table
 MAX_EDITS = 0.2  # of an item's length
 #: (least item length, window, stride, steps): an item of that length holds a whole window at some stride
 CLASSES = ((80, 48, 32, 72), (40, 24, 16, 36), (20, 12, 8, 18))
-LEAST = 8  # shorter items than this match nothing
+LEAST = 8  # shorter items than this are looked up as whole words
 SAMPLES, DIFFER, RECALL, MOST_TABLES = 12, 0.08, 0.95, 6
 TABLES_PER_WALK = 3
 #: (least item length, symbols to a piece): the shorter an item, the fewer pieces it has, and the more of them it must keep
-PIECES = ((100, 4), (40, 3), (20, 2))
+PIECES = ((100, 4), (40, 3), (LEAST, 2))
 PART, BANDS, GRAM_BITS, BINS = 400, 4, 20, 2 << 20
 BLOCK_CHARS = 4 << 20
 
@@ -239,10 +239,10 @@ class ItemIndex:
             if mine:
                 self.pieces.append(Pieces(mine, size))
         for i, s in enumerate(self.items):
-            if i not in done and len(s) >= LEAST:
-                self.exact.setdefault(len(s), {}).setdefault(zlib.crc32(s.tobytes()), []).append(i)
+            if 0 < len(s) < LEAST:
+                self.exact.setdefault(len(s), []).append(i)
 
-    def candidates(self, sym: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def candidates(self, sym: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> np.ndarray:
         """Rows (text, item, place of the item's start in sym) to verify."""
         out = []
         for window, stride, steps, found in self.tables:
@@ -265,23 +265,23 @@ class ItemIndex:
         for size, known in self.exact.items():
             if len(sym) < size:
                 continue
-            power = np.uint64(0)
-            for k in range(size):
-                power = sym[k : len(sym) - size + 1 + k].astype(np.uint64) + power * np.uint64(0x9E3779B97F4A7C15)
-            for i in {i for group in known.values() for i in group}:
-                want = np.uint64(0)
-                for c in self.items[i].tolist():
-                    want = np.asarray([c], np.uint64)[0:1] + want * np.uint64(0x9E3779B97F4A7C15)
-                at = np.flatnonzero(power == want)
-                out.append(np.stack([np.searchsorted(ends, at, "right") - 1, np.full(len(at), i), at], 1))
+            bound = np.concatenate([[True], np.diff(keep) > 1, [True]])
+            bound[ends] = True
+            whole = np.flatnonzero(bound[: len(sym) - size + 1] & bound[size:])
+            runs = sliding_window_view(sym, size)[whole]
+            for i in known:
+                at = whole[(runs == self.items[i]).all(1)]
+                text = np.searchsorted(ends, at, "right") - 1
+                inside = at + size <= ends[text + 1]
+                out.append(np.stack([text[inside], np.full(inside.sum(), i), at[inside]], 1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
-    def spans(self, sym: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def spans(self, sym: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, start, end) of what to search, each part of a text once for an item."""
-        near = self.candidates(sym, ends)
+        near = self.candidates(sym, ends, keep)
         held = np.concatenate([p.places(sym) for p in self.pieces] or [np.zeros((0, 3), np.int64)])
         n = np.asarray([len(s) for s in self.items])
-        k = (MAX_EDITS * n).astype(np.int64)
+        k = np.where(n >= LEAST, MAX_EDITS * n, 0).astype(np.int64)
         a, b = np.maximum(0, held[:, 1] - k[held[:, 0]]), np.minimum(len(sym), held[:, 2] + (n + 2 * k)[held[:, 0]])
         held, a, b = held[a < b], a[a < b], b[a < b]
         first, last = np.searchsorted(ends, a, "right") - 1, np.searchsorted(ends, b - 1, "right") - 1
@@ -304,12 +304,12 @@ class ItemIndex:
         if now:
             yield now
 
-    def verify(self, sym: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def verify(self, sym: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of each item within MAX_EDITS of a place in a text; the best place."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for text, item, a, b in self.spans(sym, ends):
+        for text, item, a, b in self.spans(sym, ends, keep):
             n = len(self.items[item])
-            k = int(MAX_EDITS * n)
+            k = int(MAX_EDITS * n) if n >= LEAST else 0
             edits, end = edit_place(self.items[item], sym[a:b])
             if edits <= k and (edits, a + end) < best.get((text, item), (k + 1, 0, 0))[:2]:
                 best[text, item] = (edits, a + end, max(a, a + end - n))
@@ -326,7 +326,7 @@ def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]]) ->
         texts = [t or "" for t in part.column("text").to_pylist()]
         sym, keep, ends = index.alphabet.codes(texts)
         base = np.cumsum([0] + [len(t) for t in texts])
-        rows = [(t, index.ids[i], e, 1 - e / len(index.items[i]), int(keep[a] - base[t]), int(keep[b - 1] + 1 - base[t])) for t, i, e, a, b in index.verify(sym, ends)] if len(sym) else []
+        rows = [(t, index.ids[i], e, 1 - e / len(index.items[i]), int(keep[a] - base[t]), int(keep[b - 1] + 1 - base[t])) for t, i, e, a, b in index.verify(sym, ends, keep)] if len(sym) else []
         if rows:
             at, *columns = zip(*rows, strict=True)
             ids = part.column("doc_id").take(pa.array(at))
@@ -348,8 +348,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def _clean(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
     index = ItemIndex(items)
     for part in blobs.text_blocks(batches, size=1 << 20):
-        sym, _, ends = index.alphabet.codes([t or "" for t in part.column("text").to_pylist()])
-        leaky = {hit[0] for hit in index.verify(sym, ends)} if len(sym) else set()
+        sym, keep, ends = index.alphabet.codes([t or "" for t in part.column("text").to_pylist()])
+        leaky = {hit[0] for hit in index.verify(sym, ends, keep)} if len(sym) else set()
         yield part.filter(pa.array([i not in leaky for i in range(part.num_rows)]))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from worklore.functions.expressions import first_match
@@ -23,12 +23,18 @@ def label(kind: Column, outcome: Column) -> Column:
     return F.when(outcome.isNotNull() & (outcome != ""), F.concat(kind, F.lit("/"), outcome)).otherwise(kind)
 
 
+def by_key(key: str) -> WindowSpec:
+    """Rows with one key together, and each row whose key is empty by itself."""
+    return Window.partitionBy(key, F.when(F.col(key) == "", F.col("id")))
+
+
 def findings(records: DataFrame, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
     """(record_id, check, detail). `order` is the log's order: of records with one summary key the first is the original.
-    The rows of a key are numbered, so a common key is sorted within its partition and never gathered."""
+    The rows of a key are numbered, so a common key is sorted within its partition and never gathered; rows without a key are
+    kept apart."""
     body = F.concat_ws(" ", "summary", F.coalesce("detail", F.lit("")))
     key = summary_key(F.col("summary"))
-    w = Window.partitionBy("_key").orderBy(*order)
+    w = by_key("_key").orderBy(*order)
     r = records.withColumn("_key", key).withColumn("_first", F.first("id").over(w)).withColumn("_n", F.row_number().over(w))
     one = lambda name, detail: F.struct(F.lit(name).alias("check"), detail.alias("detail"))
     checks = F.array(

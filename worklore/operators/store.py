@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from worklore.functions.expressions import let
 from worklore.functions.predicates import KINDS, valid_candidate
 from worklore.operators.anchors import ANCHORS_DDL
 
@@ -82,10 +83,16 @@ def searchable(records: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, fields: tuple[str, ...] = ("summary", "detail", "anchor_text")) -> DataFrame:
-    """(record_id, term, tf, dl): counts over all fields, and the record's number of terms. Counted inside each record, so
-    the only exchange is whatever reads the result."""
-    words = F.concat(*(terms(F.col(f)) for f in fields))
-    return docs.select("record_id", words.alias("w")).select("record_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("record_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(record_id, term, tf, dl): counts over all fields, and the record's number of terms. Terms are sorted and counted as
+    runs inside each record, so nothing is exchanged."""
+    words = F.array_sort(F.concat(*(terms(F.col(f)) for f in fields)))
+
+    def runs(w: Column) -> Column:
+        places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return let(starts, lambda s: F.transform(s, lambda at, j: F.struct(F.get(w, at).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(w)) - at).cast("long").alias("tf"), F.size(w).alias("dl"))))
+
+    return docs.select("record_id", F.explode(let(words, runs)).alias("p")).select("record_id", "p.term", "p.tf", "p.dl")
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklore.operators.anchors import ANCHORS_DDL
+from worklore.sources.tables import dealt, read_table
 
 GAP_MINUTES = 4320  # a gap at which all of the fold's branches are taken on these events
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    t = read_table(spark, sf_dir, name)
+    return dealt(t) if name in ("documents", "conversations", "pages") else t
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def rec(c) -> F.Column:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: labels give the kind, toxic attempts failed, Spanish ones were inferred, and each tenth
-    supersedes the one before it."""
+    supersedes the one before it. The first 200 characters are the summary, all the rest is the detail."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     r = d.join(labels, "doc_id", "left")
     kind = F.when(F.col("quality").isNull(), "note").when(F.col("quality") == 0, "decision").otherwise("attempt")
@@ -44,7 +46,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.struct(F.array("source").alias("files"), empty.alias("routes"), empty.alias("symbols"), F.array("lang").alias("settings"), F.lit("main").alias("branch"), F.lit(None).cast("string").alias("issue"), empty.alias("commits"), F.lit(None).cast("string").alias("head_sha"))
     return r.withColumn("kind", kind).select(
         rec(F.col("doc_id")).alias("id"), at.alias("occurred_at"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600 + 86400).alias("created_at"), F.col("source").alias("session_id"), a.cast(ANCHORS_DDL).alias("anchors"),
-        "kind", F.when(attempt, F.when(toxic, "failed").otherwise("worked")).alias("outcome"), F.substring("text", 1, 200).alias("summary"), F.substring("text", 201, 300).alias("detail"),
+        "kind", F.when(attempt, F.when(toxic, "failed").otherwise("worked")).alias("outcome"), F.substring("text", 1, 200).alias("summary"), F.substr("text", F.lit(201)).alias("detail"),
         F.when(attempt & toxic, "error_output").otherwise("none").alias("evidence"), F.when(F.col("lang") == "es", "inferred").otherwise("stated").alias("source"),
         F.when((F.col("doc_id") % 10 == 0) & (F.col("doc_id") > 0), rec(F.col("doc_id") - 1)).alias("supersedes"),
     )
@@ -52,7 +54,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECORDS_SQL = """records AS (SELECT 'rec_' || lpad(d.doc_id::VARCHAR, 10, '0') AS id, 1704067200 + d.doc_id * 3600 AS occurred, 1704067200 + d.doc_id * 3600 + 86400 AS created, d.source AS session_id, d.source AS file, d.lang AS setting,
  CASE WHEN quality IS NULL THEN 'note' WHEN quality = 0 THEN 'decision' ELSE 'attempt' END AS kind,
- CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'failed' ELSE 'worked' END END AS outcome, substr(text, 1, 200) AS summary, substr(text, 201, 300) AS detail,
+ CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'failed' ELSE 'worked' END END AS outcome, substr(text, 1, 200) AS summary, substr(text, 201) AS detail,
  CASE WHEN quality = 1 AND toxic = 1 THEN 'error_output' ELSE 'none' END AS evidence, CASE WHEN lang = 'es' THEN 'inferred' ELSE 'stated' END AS source,
  CASE WHEN d.doc_id % 10 = 0 AND d.doc_id > 0 THEN 'rec_' || lpad((d.doc_id - 1)::VARCHAR, 10, '0') END AS supersedes
  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),

@@ -191,7 +191,7 @@ def dry_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {RECORDS_SQL}, k AS (SELECT id, substr(regexp_replace(lower(summary), '[^a-z ]', '', 'g'), 1, 70) AS key FROM records),
  w AS (SELECT *, first_value(id) OVER (PARTITION BY key ORDER BY id) AS head, row_number() OVER (PARTITION BY key ORDER BY id) AS n FROM k) SELECT id, head FROM w WHERE n > 1 AND key <> ''""")
 def near_duplicate_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("key").orderBy("id")
+    w = quality.by_key("key").orderBy("id")
     r = records(spark, sf_dir).select("id", quality.summary_key(F.col("summary")).alias("key"))
     return r.withColumn("head", F.first("id").over(w)).withColumn("n", F.row_number().over(w)).where("n > 1 and key <> ''").select("id", "head")
 

@@ -83,7 +83,7 @@ DDL = "session_id string, idx int, ts timestamp, files array<string>, failed boo
 
 
 def test_batch_equals_plain_fold_and_stream(spark, tmp_path):
-    from worklore.streaming.segments import stream_segments
+    from worklore.streaming.segments import flush_idle, stream_segments
 
     rows = _turns()
     df = spark.createDataFrame(rows, DDL)
@@ -102,6 +102,8 @@ def test_batch_equals_plain_fold_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["session_id"], r["start_turn"], r["end_turn"]) for r in spark.table("closed").collect()}
     assert got <= batch and len(batch - got) <= 2 * 6
+    rest = {(r["session_id"], r["start_turn"], r["end_turn"]) for r in flush_idle(df, spark.table("closed")).collect()}
+    assert rest == batch - got
 
 
 def test_cursors_or_rule(spark):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worklore.operators import context, quality, retrieve, store
+from worklore.operators.index import Index
 
 NONE = {"files": [], "routes": [], "symbols": [], "settings": [], "branch": "main", "issue": None, "commits": [], "head_sha": None}
 
@@ -35,10 +36,80 @@ def test_log_round_trip(spark, records, tmp_path):
     (tmp_path / "log" / "zz.json").write_text('{"broken\n{"id":"x"}\n')
     back = store.read_log(spark, log)
     assert back.count() == 6 and back.where("id = 'rec_0002'").first()["anchors"]["issue"] == "AB-1"
-    assert store.ensure_current(spark, log, index) and not store.ensure_current(spark, log, index)
-    assert spark.read.parquet(f"{index}/anchors").where("kind = 'file'").count() == 6
+    assert store.count(spark, log) == 6
+    i = Index(spark, index)
+    assert i.ensure_current(log) and not i.ensure_current(log)
+    assert i.anchors().where("kind = 'file'").count() == 6
     store.append(records.where("id = 'rec_0001'"), log)
-    assert store.ensure_current(spark, log, index) and spark.read.parquet(f"{index}/records").count() == 6
+    assert i.ensure_current(log) and i.records().count() == 6 and len(i.meta()) == 2
+
+
+def test_index_follows_the_log(spark, records, tmp_path):
+    """Added records are found, changed ones replace their old rows, and sums are those of a rebuilt index."""
+    log, i = str(tmp_path / "log"), Index(spark, str(tmp_path / "index"))
+    store.append(records.where("id < 'rec_0004'"), log)
+    assert i.ensure_current(log)
+    changed = [record(2, "loaded the big file at last", "attempt", "worked", "none", files=["d.py"], hours=50), record(9, "brand new word", files=["a.py"])]
+    store.append(records.where("id > 'rec_0003'").unionByName(spark.createDataFrame(changed, store.RECORD_DDL)), log)
+    assert i.ensure_current(log) and len(i.meta()) == 2
+    plain = Index(spark, str(tmp_path / "plain"))
+    plain.rebuild(log)
+    assert i.totals() == plain.totals() and i.totals()[0] == 7
+    rows = lambda x: sorted(map(str, x.collect()))
+    assert rows(i.postings().select("record_id", "term", "tf", "dl")) == rows(plain.postings().select("record_id", "term", "tf", "dl"))
+    assert ids(i.timeline("a.py")) == ids(plain.timeline("a.py")) == ["rec_0005", "rec_0009"] and ids(i.by_anchor("file", "d.py")) == ["rec_0002"]
+    for q in ("failed OR big", "load*", "summary:big", '"big file"', "word NOT newer", "NEAR(loaded file, 2)", "nothing", '"'):
+        want = {r["id"]: round(r["bm25"], 9) for r in retrieve.bm25(store.searchable(plain.records()), q, 50).collect()}
+        assert {r["id"]: round(r["bm25"], 9) for r in i.bm25(q, 50).collect()} == want, q
+    (tmp_path / "log" / sorted(p.name for p in (tmp_path / "log").glob("part*.json"))[0]).unlink()
+    assert i.ensure_current(log) and len(i.meta()) == 1
+    plan = i.by_anchor("file", "a.py")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(kind,file)" in plan and "EqualTo(value,a.py)" in plan
+
+
+def test_near(records):
+    docs = store.searchable(records)
+    found = lambda q: sorted(ids(retrieve.bm25(docs, q, 50)))
+    assert found("NEAR(failed file)") == ["rec_0002", "rec_0006"] and found("NEAR(failed file, 3)") == ["rec_0002", "rec_0006"]
+    assert found("NEAR(file failed, 2)") == [] and found('NEAR("to load" file, 1)') == ["rec_0002", "rec_0006"]
+    assert found("NEAR(newer word) OR inferred") == ["rec_0004", "rec_0005"] and found("NEAR(failed)") == ["rec_0002", "rec_0006"]
+    assert found("NEAR(failed file, x)") == [] and found("NEAR(failed file") == [] and found("near a note") == [] and found("a, b") == []
+
+
+def test_first_in_the_log_is_shown(spark, tmp_path):
+    log = str(tmp_path / "log")
+    late, early = record(1, "written first, created last", hours=90), record(1, "created first")
+    store.append(spark.createDataFrame([late], store.RECORD_DDL), log)
+    store.append(spark.createDataFrame([early], store.RECORD_DDL), log)
+    for n, p in enumerate(sorted((tmp_path / "log").glob("part*.json"), key=lambda p: "written first" not in p.read_text())):
+        import os
+
+        os.utime(p, (1_700_000_000 + n, 1_700_000_000 + n))
+    assert store.get(store.read_log(spark, log, placed=True), "0001").first()["summary"] == "written first, created last"
+    assert store.get(store.read_log(spark, log), "0001").first()["summary"] == "created first"
+
+
+def test_front_door(spark, records, tmp_path):
+    from worklore.__main__ import run
+
+    one, two = tmp_path / "one", tmp_path / "two"
+    store.append(records, f"{one}/records")
+    store.append(spark.createDataFrame([record(7, "elsewhere on the same path", files=["a.py"], settings=["max_size"])], store.RECORD_DDL), f"{two}/records")
+
+    def said(*argv, homes=(f"a={one}", f"b={two}")):
+        out: list[str] = []
+        code = run(spark, [x for h in homes for x in ("--home", h)] + list(argv), out.append)
+        return code, "\n".join(out)
+
+    code, text = said("file", "a.py")
+    assert code == 0 and [x.split()[:2] for x in text.split("\n") if x[:2] in ("a ", "b ")] == [["a", "rec_0002"], ["a", "rec_0005"], ["b", "rec_0007"]]
+    assert said("setting", "max_size")[1].startswith("b rec_0007") and "rec_0004" in said("file", "a.py", "--inferred")[1]
+    assert "rec_0006" in said("search", "big NOT nothing")[1] and said("search", "nowhere")[1] == "nothing found"
+    assert said("search", "elsewhere", homes=(str(two),))[1].startswith("rec_0007")
+    assert '"summary": "newer word"' in said("show", "0005")[1] and said("show", "none")[0] == 1
+    text = said("status")[1]
+    assert "records: 6" in text and "dead_ends: 1" in text and "unanchored: 0" in text
+    assert "near-duplicate: 1" in said("lint")[1] and said("reindex")[1] == "records: 6"
 
 
 def ids(df):
@@ -99,7 +170,7 @@ def test_context(spark, records):
     text = context.block(records)
     assert text.startswith(context.OPENING) and text.endswith(context.CLOSING) and "attempt/failed: failed to load big file" in text
     small = context.block(records, budget=(len(context.OPENING) + len(context.CLOSING) + 90) // 4)
-    assert "further records" in small and len(small) < len(text)
+    assert "The budget left out" in small and len(small) < len(text)
     prompts = spark.createDataFrame([(1, "see `a.py` and max_size now"), (2, "anything about words?")], "prompt_id int, prompt string")
     m = context.exact_matches(prompts, store.anchor_rows(records))
     assert {(r["prompt_id"], r["id"]) for r in m.collect()} == {(1, f"rec_000{i}") for i in (1, 2, 4, 5)}
@@ -108,6 +179,30 @@ def test_context(spark, records):
     assert [r["w"] for r in words] == [["loader", "crashed"], []] and context.query_for(["a", "b"]) == '"a" OR "b"'
 
 
+def test_prompts_fall_back_to_keywords(spark, records):
+    prompts = spark.createDataFrame([(1, "see `b.py` about loading files"), (2, "the max_size thing crashed"), (3, "inferred stuff about newer words like newer fast-mode"), (4, "see gone.py and failed loader, failed"), (5, "hi")], "prompt_id int, prompt string")
+    docs = store.searchable(records)
+    postings = store.postings(docs)
+    sums = postings.select("record_id", "dl").distinct().agg(F.count("*"), F.avg("dl")).first()
+    m = context.match_prompts(prompts, store.anchor_rows(records), docs, postings, (sums[0], sums[1]), store.live(records))
+    got: dict = {}
+    for r in m.collect():
+        got.setdefault((r["prompt_id"], r["kind"]), set()).add(r["id"])
+    # the record with prompt 2's setting is superseded, and one word is too few to search by
+    assert got == {(1, "file"): {"rec_0003"}, (3, "text"): {"rec_0001", "rec_0004", "rec_0005"}, (4, "text"): {"rec_0002", "rec_0006"}}
+    plain = {r["id"] for r in retrieve.bm25(docs, context.query_for(["inferred", "newer", "words", "fast-mode"]), 6).collect()}
+    assert got[3, "text"] == plain
+
+
+def test_shown(spark, tmp_path):
+    home = str(tmp_path)
+    assert context.shown(spark, home).count() == 0
+    ddl = "session_id string, id string, n int"
+    context.note_shown(spark.createDataFrame([("s", "b", 2), ("s", "a", 1)], ddl), home, 10)
+    context.note_shown(spark.createDataFrame([("s", "c", 1), ("s", "a", 2), ("t", "x", 1)], ddl), home, 20)
+    assert {r["session_id"]: r["ids"] for r in context.shown(spark, home).collect()} == {"s": ["a", "b", "c"], "t": ["x"]}
+
+
 def test_remember(spark):
     s = "session_id string, ids array<string>"
     out = context.remember(spark.createDataFrame([("s", ["a", "b"])], s), spark.createDataFrame([("s", ["b", "c"]), ("t", ["x"])], s), keep=2)

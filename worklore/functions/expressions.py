@@ -66,11 +66,3 @@ def first_match(text: Column, pattern: str) -> Column:
 
 def distinct_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
-
-
-def running_prefix(length: Column, order, partition, limit: Column | int, used: int) -> Column:
-    """True while the running total of length+1, after `used`, stays within limit; it never comes back to true."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum(length + 1).over(w) + used <= limit

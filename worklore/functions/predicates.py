@@ -16,10 +16,6 @@ SOURCES = ("stated", "inferred")
 CONFIDENCE = ("low", "medium", "high")
 
 
-def had_error(results: Column) -> Column:
-    return F.exists(results, lambda r: r["is_error"])
-
-
 def shows_failure(results: Column) -> Column:
     return F.coalesce(F.exists(results, lambda r: r["is_error"] | r["text"].rlike(FAILURE)), F.lit(False))
 

@@ -169,10 +169,15 @@ def script_declarations_of(source: pd.Series) -> pd.Series:
     return source.map(lambda s: [{"line": a, "name": n} for a, n in script_declarations(s or "")])
 
 
+LINES_EACH = 64
+
+
 def innermost(ranges: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """ranges(keys…, ord, start, stop) with the name of the shortest of spans(keys…, s_start, s_stop, name, at) that each
-    overlaps; the first of equals. Ranges that overlap none are left out."""
-    met = ranges.join(spans, keys).where("s_start <= stop and s_stop >= start")
+    overlaps; the first of equals. Ranges that overlap none are left out. Both enter buckets of LINES_EACH lines, so that a
+    range is joined with the spans of its buckets, not with all of its file."""
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / LINES_EACH), F.floor(F.greatest(a, b) / LINES_EACH))).alias("_block")
+    met = ranges.select("*", blocks("start", "stop")).join(spans.select("*", blocks("s_start", "s_stop")), [*keys, "_block"]).where("s_start <= stop and s_stop >= start")
     best = F.min_by("name", F.struct(F.col("s_stop") - F.col("s_start"), F.col("at")))
     return met.groupBy(*keys, "ord", "start", "stop").agg(best.alias("name"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklore.functions.predicates import is_dead_end
@@ -15,6 +15,7 @@ from worklore.operators.store import MARKED, PLAIN, live
 WEIGHTS = {"file": 50.0, "route": 45.0, "symbol": 40.0, "setting": 45.0, "issue": 30.0, "branch": 10.0, "commit": 10.0}
 TEXT_WEIGHT, DEAD_END_BOOST, RECENCY = 5.0, 40.0, 10.0
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+NEAR_DISTANCE = 10
 
 
 def weight(kind: Column) -> Column:
@@ -24,10 +25,10 @@ def weight(kind: Column) -> Column:
     return out
 
 
-def rank(matches: DataFrame, records: DataFrame, include_inferred: bool = False, by: str = "created_at") -> DataFrame:
-    """matches(id, kind) -> live records with score and matched kinds. The recency bonus spreads the candidates between
+def rank(matches: DataFrame, records: DataFrame, include_inferred: bool = False, by: str = "created_at", carry: tuple[str, ...] = ()) -> DataFrame:
+    """matches(id, kind) -> live records with score and matched kinds, and the greatest of each column in `carry`. The recency bonus spreads the candidates between
     the oldest and newest `by`; with the default it compares occurred_at to bounds of created_at, and isn't bounded."""
-    grouped = matches.groupBy("id").agg(F.sum(weight(F.col("kind"))).alias("_weight"), F.sort_array(F.collect_set("kind")).alias("matched"))
+    grouped = matches.groupBy("id").agg(F.sum(weight(F.col("kind"))).alias("_weight"), F.sort_array(F.collect_set("kind")).alias("matched"), *(F.max(c).alias(c) for c in carry))
     hits = live(records, include_inferred).join(grouped, "id")
     at = lambda c: F.unix_micros(c) / 1e6
     bounds = hits.agg(F.max(at(by)).alias("_new"), F.min(at(by)).alias("_old"))
@@ -56,12 +57,13 @@ class QueryError(ValueError):
     pass
 
 
-TOKEN = re.compile(r'\s*(?:(?P<quoted>"(?:[^"]|"")*")(?P<qstar>\*)?|(?P<word>[\w\u0080-￿]+)(?P<star>\*)?|(?P<mark>[():^+]))', re.UNICODE)
+TOKEN = re.compile(r'\s*(?:(?P<quoted>"(?:[^"]|"")*")(?P<qstar>\*)?|(?P<word>[\w\u0080-￿]+)(?P<star>\*)?|(?P<mark>[():^+,]))', re.UNICODE)
 
 
 def parse_query(text: str) -> tuple:
-    """A query as nested tuples: ('and'|'or'|'not', left, right) and ('terms', words, field, prefix, first). Bare words
-    side by side are joined by and; NOT binds tighter than AND, and AND than OR. What isn't well-formed raises QueryError."""
+    """A query as nested tuples: ('and'|'or'|'not', left, right), ('near', distance, phrases…) and ('terms', words, field,
+    prefix, first). Bare words side by side are joined by and; NOT binds tighter than AND, and AND than OR. What isn't
+    well-formed raises QueryError."""
     tokens, at = [], 0
     text = text.rstrip()
     while at < len(text):
@@ -87,6 +89,9 @@ def parse_query(text: str) -> tuple:
                 raise QueryError("a parenthesis isn't closed")
             pos += 1
             return inner
+        if peek("word") == "NEAR" and pos + 1 < len(tokens) and tokens[pos + 1]["mark"] == "(":
+            pos += 2
+            return near(field)
         first = peek("mark") == "^"
         pos += first
         if pos >= len(tokens) or tokens[pos]["mark"]:
@@ -105,6 +110,22 @@ def parse_query(text: str) -> tuple:
             pos += 1
         return ("terms", tuple(words), field, bool(m["qstar"] or m["star"]), first)
 
+    def near(field: str | None) -> tuple:
+        """What stands in NEAR(…): phrases, and after a comma how many words may be between the first and the last."""
+        nonlocal pos
+        phrases, distance = [], NEAR_DISTANCE
+        while pos < len(tokens) and tokens[pos]["mark"] not in (")", ",", "("):
+            phrases.append(phrase(field))
+        if peek("mark") == ",":
+            if pos + 1 >= len(tokens) or not (tokens[pos + 1]["word"] or "").isdigit():
+                raise QueryError("NEAR's distance is missing")
+            distance = int(tokens[pos + 1]["word"])
+            pos += 2
+        if peek("mark") != ")" or not phrases:
+            raise QueryError("NEAR isn't closed")
+        pos += 1
+        return phrases[0] if len(phrases) == 1 else ("near", distance, *phrases)
+
     def operator(name: str) -> bool:
         return peek("word") == name and pos + 1 < len(tokens)
 
@@ -142,7 +163,9 @@ def parse_query(text: str) -> tuple:
 
 
 def leaves(tree: tuple) -> list[tuple]:
-    return [tree] if tree[0] == "terms" else leaves(tree[1]) + leaves(tree[2])
+    if tree[0] == "terms":
+        return [tree]
+    return [leaf for part in tree[2 if tree[0] == "near" else 1 :] for leaf in leaves(part)]
 
 
 def _padded(words: Column) -> Column:
@@ -165,10 +188,43 @@ def _holds(leaf: tuple, fields: dict[str, Column]) -> Column:
 def _satisfies(tree: tuple, fields: dict[str, Column]) -> Column:
     if tree[0] == "terms":
         return _holds(tree, fields)
+    if tree[0] == "near":
+        out = F.lit(False)
+        for name, c in fields.items():
+            if all(leaf[2] in (None, name) or leaf[2] not in fields for leaf in tree[2:]):
+                out = out | _close(tree[1], tree[2:], c)
+        return out
     left, right = _satisfies(tree[1], fields), _satisfies(tree[2], fields)
     return left & right if tree[0] == "and" else left | right if tree[0] == "or" else left & ~right
 
 
+def _close(distance: int, phrases: tuple, c: Column) -> Column:
+    """Whether a field's words hold all phrases with at most `distance` words from the end of the first to the start of the
+    last of them."""
+    places = [_starts(leaf, c) for leaf in phrases]
+
+    def clump(reach: int):
+        def holds(a: Column) -> Column:
+            out = F.lit(True)
+            for other in places:
+                out = out & F.exists(other, lambda t: (t >= a) & (t <= a + reach))
+            return out
+
+        return holds
+
+    out = F.lit(False)
+    for leaf, mine in zip(phrases, places, strict=True):
+        out = out | F.exists(mine, clump(len(leaf[1]) + distance))
+    return out
+
+
+def _starts(leaf: tuple, c: Column) -> Column:
+    """Where a phrase begins."""
+    _, words, _, prefix, first = leaf
+    every = F.filter(F.transform(c, lambda x, i: F.when(_run(c, i, words, prefix), i).otherwise(-1)), lambda i: i >= 0)
+    return F.filter(every, lambda i: i == 0) if first else every
+
+
 def _frequency(leaf: tuple, fields: dict[str, Column]) -> Column:
     """Occurrences of a phrase in all fields."""
     _, words, field, prefix, _ = leaf
@@ -192,9 +248,10 @@ def _run(c: Column, i: Column, words: tuple[str, ...], prefix: bool) -> Column:
     return out
 
 
-def bm25(docs: DataFrame, query: str, limit: int, fields: tuple[str, ...] = ("summary", "detail", "anchor_text")) -> DataFrame:
+def bm25(docs: DataFrame, query: str, limit: int, fields: tuple[str, ...] = ("summary", "detail", "anchor_text"), totals: tuple[int, float] | None = None) -> DataFrame:
     """The `limit` best of docs(record_id, fields…) for a query: (id, bm25), larger being better. A phrase counts as one
-    term. Corpus counts are one pass of sums; the ranking is a top-k. A malformed query finds nothing."""
+    term. Corpus counts are one pass of sums; the ranking is a top-k. A malformed query finds nothing. With totals (number of
+    records, mean length) of a larger corpus, docs need only hold its records that hold some word of the query."""
     from worklore.operators.store import terms
 
     try:
@@ -208,20 +265,63 @@ def bm25(docs: DataFrame, query: str, limit: int, fields: tuple[str, ...] = ("su
     for f in fields:
         length = length + F.size(f)
     t = t.select("record_id", length.alias("dl"), _satisfies(tree, cols).alias("ok"), *(_frequency(p, cols).alias(f"tf{i}") for i, p in enumerate(phrases)))
-    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases)))).first()
+    return _best(t, len(phrases), limit, totals)
+
+
+def _best(t: DataFrame, n: int, limit: int, totals: tuple[int, float] | None) -> DataFrame:
+    """The best of t(record_id, dl, ok, tf0…), by two passes: sums, then the top."""
+    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n))).first()
+    count, mean = totals or (stats["n"], stats["avgdl"])
     score = F.lit(0.0)
-    for i in range(len(phrases)):
-        df = stats[f"df{i}"]
-        idf = max(LEAST_IDF, math.log((stats["n"] - df + 0.5) / (df + 0.5))) if stats["n"] else 0.0
+    for i in range(n):
         tf = F.col(f"tf{i}")
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["avgdl"] or 1))))).otherwise(0.0)
+        score = score + F.when(tf > 0, idf(count, stats[f"df{i}"]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1))))).otherwise(0.0)
     return t.where("ok").select(F.col("record_id").alias("id"), score.alias("bm25")).orderBy(F.col("bm25").desc(), "id").limit(limit)
 
 
+def idf(n: int, df: int) -> float:
+    return max(LEAST_IDF, math.log((n - df + 0.5) / (df + 0.5))) if n else 0.0
+
+
+def bm25_indexed(docs: DataFrame, postings: DataFrame, totals: tuple[int, float], query: str, limit: int, fields: tuple[str, ...] = ("summary", "detail", "anchor_text")) -> DataFrame:
+    """As `bm25`, from postings(record_id, term, tf, dl): only those of the query's words are read. Plain words need nothing
+    else; for phrases, prefixes, fields and places the texts of the records that hold the words are read."""
+    try:
+        tree = parse_query(query)
+    except QueryError:
+        return bm25(docs, query, limit, fields)
+    phrases = list(dict.fromkeys(leaves(tree)))
+    if all(len(p[1]) == 1 and p[2] not in fields and not p[3] and not p[4] for p in phrases) and not _has_near(tree):
+        words = [p[1][0] for p in phrases]
+        met = postings.where(F.col("term").isin(*words)).groupBy("record_id").agg(F.first("dl").alias("dl"), *(F.sum(F.when(F.col("term") == w, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, w in enumerate(words)))
+        held = {p: F.col(f"tf{i}") > 0 for i, p in enumerate(phrases)}
+        return _best(met.withColumn("ok", _by_words(tree, held)), len(words), limit, totals)
+    some = F.lit(False)
+    for _, words, _, prefix, _ in phrases:
+        for k, w in enumerate(words):
+            some = some | (F.startswith("term", F.lit(w)) if prefix and k == len(words) - 1 else F.col("term") == w)
+    return bm25(docs.join(postings.where(some).select("record_id").distinct(), "record_id", "left_semi"), query, limit, fields, totals)
+
+
+def _has_near(tree: tuple) -> bool:
+    return tree[0] == "near" or tree[0] != "terms" and any(map(_has_near, tree[1:]))
+
+
+def _by_words(tree: tuple, held: dict[tuple, Column]) -> Column:
+    if tree[0] == "terms":
+        return held[tree]
+    left, right = _by_words(tree[1], held), _by_words(tree[2], held)
+    return left & right if tree[0] == "and" else left | right if tree[0] == "or" else left & ~right
+
+
+def ranked_by_text(found: DataFrame, records: DataFrame, include_inferred: bool = False) -> DataFrame:
+    """found(id, bm25) -> live records with score and bm25, which goes through the ranking as a column."""
+    return rank(found.select("id", F.lit("text").alias("kind"), "bm25"), records, include_inferred, carry=("bm25",))
+
+
 def search(records: DataFrame, docs: DataFrame, query: str, include_inferred: bool = False, limit: int = 50) -> DataFrame:
     """Keyword search: the best `limit` by BM25, of which live ones are ranked. Filters come after the limit."""
-    found = bm25(docs, query, limit)
-    return ranked(rank(found.select("id", F.lit("text").alias("kind")), records, include_inferred).join(found, "id"))
+    return ranked(ranked_by_text(bm25(docs, query, limit), records, include_inferred))
 
 
 def across(parts: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -237,6 +337,10 @@ def timeline_across(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     return across(parts).orderBy("occurred_at", "repo", "id")
 
 
+def by_anchor_across(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    return across(parts).orderBy("occurred_at", "repo", "id")
+
+
 def search_across(parts: list[tuple[str, DataFrame]], limit: int = 50) -> DataFrame:
     """Scores are of each repository; the merged hits are ranked and cut again."""
     return across(parts).orderBy(F.col("score").desc(), F.col("occurred_at").desc(), "repo", "id").limit(limit)
@@ -251,11 +355,3 @@ def with_anchors(records: DataFrame, anchors: DataFrame) -> DataFrame:
     kinds = ("file", "route", "symbol", "setting", "commit", "issue", "branch")
     grouped = anchors.groupBy("record_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("value")))).alias(f"{k}_anchors") for k in kinds))
     return records.join(grouped.withColumnRenamed("record_id", "id"), "id", "left")
-
-
-def last_before(points: DataFrame, marks: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """As-of join: each point's latest mark at or before it, by union and running last value."""
-    both = points.withColumn(value, F.lit(None).cast(marks.schema[value].dataType)).withColumn("_side", F.lit(1))
-    m = marks.select(*(F.col(c) if c in (*keys, order, value) else F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns), value).withColumn("_side", F.lit(0)) if value not in points.columns else None
-    w = Window.partitionBy(*keys).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.unionByName(m).withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")

@@ -1,16 +1,13 @@
 """The record store: an append-only JSON log, and tables derived from it.
 
-The log is the truth. Anchors are kept apart by kind, since (kind, value) is how they are looked up; postings hold term
-counts for keyword search. Derived tables are rebuilt when the log's files have changed.
+The log is the truth. Anchors are rows of (kind, value), by which they are looked up; postings hold term counts for keyword
+search. `worklore.operators.index` keeps both on disk and follows the log.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from worklore.functions.expressions import let
 from worklore.functions.predicates import KINDS, valid_candidate
@@ -35,15 +32,25 @@ def append(records: DataFrame, path: str) -> None:
     records.select(*RECORD_COLUMNS).write.mode("append").option("ignoreNullFields", "false").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log's valid records; lines that aren't records are left out, and so is a log that isn't there."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], RECORD_DDL)
-    raw = spark.read.schema(RECORD_DDL + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+def read_log(spark: SparkSession, path: str | list[str], placed: bool = False) -> DataFrame:
+    """The log's valid records; lines that aren't records are left out, and so is a log that isn't there. With `placed`, each
+    has its `place` in the log: its file's time and name, and its line."""
+    paths = [path] if isinstance(path, str) else path
+    there = [p for p in paths if (where := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)]
+    place = "place struct<time:timestamp,file:string,block:long,row:long>"
+    if not there:
+        return spark.createDataFrame([], RECORD_DDL + (f", {place}" if placed else ""))
+    raw = spark.read.schema(RECORD_DDL + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(there)
+    if placed:
+        raw = raw.withColumn("place", F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
     return raw.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull() & F.col("occurred_at").isNotNull() & F.col("kind").isin(*KINDS) & F.col("summary").isNotNull()).drop("_corrupt_record")
 
 
+def count(spark: SparkSession, path: str) -> int:
+    """How many records the log holds."""
+    return read_log(spark, path).count()
+
+
 def latest(records: DataFrame) -> DataFrame:
     """One record for each id, the last created."""
     from pyspark.sql import Window
@@ -95,41 +102,11 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = ("summary", "detail", "a
     return docs.select("record_id", F.explode(let(words, runs)).alias("p")).select("record_id", "p.term", "p.tf", "p.dl")
 
 
-def fingerprint(spark: SparkSession, path: str) -> str:
-    """Names, sizes and times of the log's files."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return ""
-    seen = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where))
-    return hashlib.sha256(repr(seen).encode()).hexdigest()
-
-
-def rebuild(spark: SparkSession, log_path: str, index_path: str) -> None:
-    """Derive records, anchors and postings from the log, and note what it was derived from."""
-    mark = fingerprint(spark, log_path)
-    records = latest(read_log(spark, log_path))
-    records.write.mode("overwrite").parquet(f"{index_path}/records")
-    anchor_rows(records).repartition("kind").sortWithinPartitions("kind", "value").write.mode("overwrite").partitionBy("kind").parquet(f"{index_path}/anchors")
-    postings(searchable(records)).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{index_path}/postings")
-    spark.createDataFrame([(mark,)], "fingerprint string").write.mode("overwrite").parquet(f"{index_path}/meta")
-
-
-def ensure_current(spark: SparkSession, log_path: str, index_path: str) -> bool:
-    """Rebuild if the log has changed since; True if it had."""
-    try:
-        known = spark.read.parquet(f"{index_path}/meta").first()["fingerprint"]
-    except AnalysisException:
-        known = None
-    if known is not None and known == fingerprint(spark, log_path):
-        return False
-    rebuild(spark, log_path, index_path)
-    return True
-
-
 def get(records: DataFrame, suffix: str) -> DataFrame:
-    """The first record, in log order, whose id is or ends with the text."""
-    return records.where(F.endswith("id", F.lit(suffix))).orderBy("created_at", "id").limit(1)
+    """The first record whose id is or ends with the text: in the order of the log if records have their `place` in it
+    (`read_log` with placed), else by time of creation."""
+    order = ["place"] if "place" in records.columns else ["created_at", "id"]
+    return records.where(F.endswith("id", F.lit(suffix))).orderBy(*order).limit(1)
 
 
 def superseded(records: DataFrame) -> DataFrame:

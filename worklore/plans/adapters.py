@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklore.operators.anchors import ANCHORS_DDL
-from worklore.sources.tables import dealt, read_table
+from worklore.operators.index import write_postings
+from worklore.operators.store import postings
+from worklore.sources.tables import dealt, read_table, shared_dir
 
 GAP_MINUTES = 4320  # a gap at which all of the fold's branches are taken on these events
 
@@ -63,3 +67,18 @@ live AS (SELECT * FROM records WHERE id NOT IN (SELECT supersedes FROM records W
 
 def documents_for_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(rec(F.col("doc_id")).alias("record_id"), F.col("text").alias("summary"))
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, float]]:
+    """Postings of the documents, and their number and mean length. They are written once for a state of the table, in the
+    shared folder, and later queries read them."""
+    docs = documents_for_search(spark, sf_dir)
+    files = sorted(r[0] for r in read_table(spark, sf_dir, "documents").select(F.concat_ws("|", "_metadata.file_path", F.col("_metadata.file_size").cast("string"), F.col("_metadata.file_modification_time").cast("string"))).distinct().collect())
+    path = f"{shared_dir(spark)}/worklore/postings-{hashlib.sha256(repr(files).encode()).hexdigest()[:16]}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        write_postings(postings(docs, ("summary",)), f"{path}/postings")
+        sums = spark.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))
+        sums.withColumn("n", F.lit(docs.count())).write.mode("overwrite").parquet(f"{path}/totals")
+    row = spark.read.parquet(f"{path}/totals").first()
+    return spark.read.parquet(f"{path}/postings"), (row["n"], row["terms"] / row["n"] if row["n"] else 0.0)

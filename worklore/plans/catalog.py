@@ -10,7 +10,7 @@ from worklore.functions import redact as rx
 from worklore.functions.expressions import truncate, truncate_ends
 from worklore.operators import anchors as an
 from worklore.operators import context, quality, retrieve, segments, store
-from worklore.plans.adapters import GAP_MINUTES, RECORDS_SQL, TURNS_SQL, documents_for_search, records, table, turns
+from worklore.plans.adapters import GAP_MINUTES, RECORDS_SQL, TURNS_SQL, documents_for_search, documents_index, records, table, turns
 from worklore.plans.pipeline import dollars
 
 QUERIES: dict = {}
@@ -276,14 +276,15 @@ BM25_SQL = r"""toks AS (SELECT 'rec_' || lpad(doc_id::VARCHAR, 10, '0') AS id, l
 
 @query(f"WITH {BM25_SQL} SELECT id, round(s, 6) AS bm25 FROM top")
 def keyword_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.bm25(documents_for_search(spark, sf_dir), SEARCH, 50, ("summary",)).select("id", F.round("bm25", 6).alias("bm25"))
+    postings, totals = documents_index(spark, sf_dir)
+    return retrieve.bm25_indexed(documents_for_search(spark, sf_dir), postings, totals, SEARCH, 50, ("summary",)).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"WITH {RECORDS_SQL}, {BM25_SQL}, {_rank_sql(5.0, 'SELECT live.*, s FROM live JOIN top USING (id)')}, round(s, 6) AS bm25 FROM hits, bounds")
 def search_then_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents_for_search(spark, sf_dir)
-    found = retrieve.bm25(d, SEARCH, 50, ("summary",))
-    hits = retrieve.rank(found.select("id", F.lit("text").alias("kind")), records(spark, sf_dir)).join(found, "id")
+    postings, totals = documents_index(spark, sf_dir)
+    found = retrieve.bm25_indexed(documents_for_search(spark, sf_dir), postings, totals, SEARCH, 50, ("summary",))
+    hits = retrieve.ranked_by_text(found, records(spark, sf_dir))
     return hits.select("id", F.round("score", 6).alias("score"), epoch("occurred_at").alias("occurred"), F.round("bm25", 6).alias("bm25"))
 
 
@@ -331,6 +332,33 @@ def prompt_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.for_prompts(named.join(a, "value").select("prompt_id", "id"), r).select("prompt_id", "id")
 
 
+PHRASE, NEARBY = '"de la"', "NEAR(der die, 3)"
+FOLDED_SQL = r"""f AS (SELECT 'rec_' || lpad(doc_id::VARCHAR, 10, '0') AS id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS s FROM documents)"""
+
+
+@query(f"""WITH {FOLDED_SQL} SELECT id FROM f WHERE contains(s, ' de la ') OR regexp_matches(s, ' der ([^ ]+ ){{0,3}}die ') OR regexp_matches(s, ' die ([^ ]+ ){{0,3}}der ')""")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase, or two words close together: postings name the records that hold the words, whose texts are then read."""
+    postings, totals = documents_index(spark, sf_dir)
+    docs = documents_for_search(spark, sf_dir)
+    return retrieve.bm25_indexed(docs, postings, totals, f"{PHRASE} OR {NEARBY}", 1 << 30, ("summary",)).select("id")
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\\-]{{4,}}'), lambda x: lower(x)) AS w FROM conversations WHERE role = 'user'),
+ p AS (SELECT conv_id * 1000 + turn AS prompt_id, list_filter(w, lambda x, i: list_position(w, x) = i AND x NOT IN ({STOP_SQL})) AS w FROM c), w AS (SELECT prompt_id, unnest(w[1:12]) AS word FROM p WHERE len(w) >= 2),
+ tk AS (SELECT 'rec_' || lpad(doc_id::VARCHAR, 10, '0') AS id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+ st AS (SELECT count(*) AS n, avg(len(t)) AS av FROM tk), po AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tk) WHERE term IN (SELECT word FROM w) GROUP BY 1, 2),
+ d AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+ s AS (SELECT prompt_id, po.id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS bm25 FROM w JOIN po ON po.term = w.word JOIN d ON d.term = w.word, st GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY round(bm25, 6) DESC, id) AS k FROM s)
+ SELECT prompt_id, id, 'text' AS kind FROM r WHERE k <= 6""")
+def prompt_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as prompts that name no file: the best records by their words."""
+    prompts = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt"))
+    postings, totals = documents_index(spark, sf_dir)
+    return context.keyword_matches(prompts, documents_for_search(spark, sf_dir), postings, totals, ("summary",))
+
+
 @query(r"""WITH toks AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents)
  SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM toks GROUP BY 1""")
 def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

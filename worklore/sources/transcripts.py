@@ -51,6 +51,12 @@ def list_sessions(spark: SparkSession, pattern: str, days: float | None = None,
     return files.orderBy(F.col("modified").desc(), "file")
 
 
+def find_session(spark: SparkSession, session_id: str, cwd: str, root: str) -> str | None:
+    """The file of a session of a working directory, or None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{project_dir(cwd, root)}/{session_id}.jsonl")
+    return where.toString() if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+
+
 def sessions_of(spark: SparkSession, cwd: str, root: str, days: float | None = None) -> DataFrame:
     return list_sessions(spark, f"{project_dir(cwd, root)}/*.jsonl", days)
 

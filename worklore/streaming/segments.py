@@ -1,7 +1,8 @@
 """Segments from a stream of turns: the batch fold, with its state kept by session.
 
 Only closed segments come out, so a segment is never given twice. A session that stays idle for longer than the largest
-gap is closed by a timer on the watermark, or at the end of a run by `flush_idle`.
+gap is closed by a timer on the watermark; one that is overdue already when its turns come is closed at once. At the end of a
+run `flush_idle` gives what is still open.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from worklore.config import Segmentation
-from worklore.operators.segments import Fold, Step
+from worklore.operators.segments import Fold, Step, segments
 
 CLOSED_DDL = "session_id string, start_turn int, end_turn int, turn_count int, files array<string>, started_at timestamp, ended_at timestamp, tool_errors int"
 STATE_DDL = "fold string, last_idx int"
@@ -61,13 +62,22 @@ def stream_segments(turns: DataFrame, cfg: Segmentation | None = None, watermark
             at = None if pd.isna(r.at) else float(r.at)
             closed += fold.add(Step(int(r.idx), at, tuple(r.files if r.files is not None else ()), bool(r.failed), bool(r.passed)))
             last = int(r.idx)
-        state.update((dump(fold), last))
         times = [s.at for s in (fold.current + fold.waiting) if s.at is not None]
-        if times:
-            due = int((max(times) + 60 * cfg.max_gap_minutes) * 1000) + 1
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
+        due = int((max(times) + 60 * cfg.max_gap_minutes) * 1000) + 1 if times else None
+        if due is not None and due <= state.getCurrentWatermarkMs():
+            closed += fold.end()
+            due = None
+        state.update((dump(fold), last))
+        if due is not None:
+            state.setTimeoutTimestamp(due)
         yield rows_of(key[0], closed)
 
     steps = turns.withWatermark("ts", watermark).select(F.col("session_id").cast("string"), F.col("idx").cast("int"), "ts", (F.unix_micros("ts") / 1e6).alias("at"), "files", "failed", "passed")
     return steps.groupBy("session_id").applyInPandasWithState(step, CLOSED_DDL, STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def flush_idle(turns: DataFrame, given: DataFrame, cfg: Segmentation | None = None) -> DataFrame:
+    """What a stream has not closed by the end of a run: the segments of all its turns, read as a batch, that aren't in
+    given(session_id, start_turn, end_turn). Both ways fold alike, so these are the ones still open."""
+    keys = ["session_id", "start_turn", "end_turn"]
+    return segments(turns, cfg).join(given.select(*keys).distinct(), keys, "left_anti")

@@ -13,11 +13,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from worklore.llm.common import fanout
+from worklore.llm.common import fanout, input_bytes
 
 SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 DDL = "bucket int, kind int, payload binary"
 BLOCK_BYTES = 2 << 20
+#: what a task holds before it deals, as text and as columns; input to a row at least, on average
+BLOCKS_BYTES, HELD_BYTES, ROW_BYTES = 16 << 20, 48 << 20, 1 << 10
+#: names that a task counts at a time, keeps, and reports
+COUNTED, ROOM, REPORTED = 1 << 20, 1 << 16, 1 << 12
 Columns = list[np.ndarray]
 
 
@@ -53,6 +57,30 @@ def deal(bucket: np.ndarray, columns: Columns, kind: int) -> Iterator[tuple[int,
         yield int(b[start]), kind, encode([c[start:end] for c in columns])
 
 
+class Dealer:
+    """Holds columns of several kinds until they fill HELD_BYTES, then deals them out, a row for each kind and bucket."""
+
+    def __init__(self):
+        self.parts: dict[int, list[tuple[np.ndarray, Columns]]] = {}
+        self.size = 0
+
+    def add(self, kind: int, bucket: np.ndarray, columns: Columns) -> None:
+        if len(bucket):
+            self.parts.setdefault(kind, []).append((bucket, columns))
+            self.size += bucket.nbytes + sum(c.nbytes for c in columns)
+
+    def full(self) -> bool:
+        return self.size >= HELD_BYTES
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for kind in sorted(self.parts):
+            parts = self.parts.pop(kind)
+            rows = list(deal(np.concatenate([p for p, _ in parts]), merge([c for _, c in parts]), kind))
+            del parts
+            yield batch(rows)
+        self.size = 0
+
+
 def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
@@ -67,9 +95,11 @@ def collected(batches: Iterator[pa.RecordBatch]) -> dict[int, list]:
 
 
 def counts(docs: DataFrame, bytes_each: int = 8 << 20) -> tuple[int, int]:
-    """(partitions, buckets) for exchanges whose volume follows that of docs."""
-    n = fanout(docs, bytes_each)
-    return n, max(256, 4 * n)
+    """(partitions, buckets) for exchanges whose volume follows that of docs. A task deals a row to each bucket, so there are
+    no more buckets than leave ROW_BYTES of input to a row: rows follow the data, not the product of tasks and buckets."""
+    n, size = fanout(docs, bytes_each), input_bytes(docs)
+    tasks = max(len(docs.inputFiles()), -(-size // BLOCKS_BYTES))
+    return n, max(min(n, docs.sparkSession.sparkContext.defaultParallelism), min(n, size // (ROW_BYTES * max(1, tasks))))
 
 
 def exchange(rows: DataFrame, partitions: int) -> DataFrame:
@@ -109,3 +139,50 @@ def mix(x: np.ndarray) -> np.ndarray:
 def spread(x: np.ndarray, n: int) -> np.ndarray:
     """Bucket of each 64-bit value."""
     return ((mix(x.astype(np.uint64)) >> np.uint64(33)) % np.uint64(n)).astype(np.int32)
+
+
+def new_groups(*columns: np.ndarray) -> np.ndarray:
+    """True where any column differs from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+class Frequent:
+    """Counts of a task's names in bounded room, by the mergeable form of Misra and Gries' summary: beyond ROOM, the
+    largest count that is to go is taken off all. A name's count is never above the true one."""
+
+    def __init__(self):
+        self.names, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.n = self.seen = self.again = 0
+
+    def add(self, names: np.ndarray) -> None:
+        self.held.append(names)
+        self.n += len(names)
+        if self.n >= COUNTED:
+            self.merge()
+
+    def merge(self) -> None:
+        fresh, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.held]), return_counts=True)
+        self.seen, self.again = self.seen + self.n, self.again + int(n[n > 1].sum())
+        self.held, self.n = [], 0
+        names = np.concatenate([self.names, fresh])
+        order = np.argsort(names, kind="stable")
+        names, counts = names[order], np.concatenate([self.counts, n])[order]
+        starts = np.flatnonzero(new_groups(names))
+        if len(starts):
+            names, counts = names[starts], np.add.reduceat(counts, starts)
+        if len(names) > ROOM:
+            counts = counts - np.partition(counts, len(counts) - ROOM - 1)[len(counts) - ROOM - 1]
+            names, counts = names[counts > 0], counts[counts > 0]
+        self.names, self.counts = names, counts
+
+    def reported(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.n:
+            self.merge()
+        top = np.argsort(-self.counts, kind="stable")[:REPORTED]
+        top = top[self.counts[top] > 2]
+        return self.names[top], self.counts[top]

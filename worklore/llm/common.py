@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worklore.sources.tables import dealt, read_table, shared_dir
+
 SPACE = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex[:12]}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return dealt(read_table(spark, sf_dir, name))
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -60,6 +50,23 @@ def fanout(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     return max(n, -(-input_bytes(df) // bytes_each))
 
 
+SMALL_ROWS = 500_000
+
+
+def held_small(df: DataFrame) -> DataFrame:
+    """A table of ids, to be sent whole to a join's other side if it has no more than SMALL_ROWS rows; beyond, both sides
+    are exchanged."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def fresh_name(columns: list[str], name: str) -> str:
+    """A column name that isn't among these."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once and hand it to `body`; optimizer rules cannot copy it into the body."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

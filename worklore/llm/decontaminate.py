@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklore.llm import blobs
-from worklore.llm.blobs import mix
+from worklore.llm.blobs import mix, new_groups
 from worklore.llm.common import table
 
 MAX_EDITS = 0.2  # of an item's length
@@ -37,9 +37,10 @@ CLASSES = ((80, 48, 32, 72), (40, 24, 16, 36), (20, 12, 8, 18))
 LEAST = 8  # shorter items than this are looked up as whole words
 SAMPLES, DIFFER, RECALL, MOST_TABLES = 12, 0.08, 0.95, 6
 TABLES_PER_WALK = 3
-#: (least item length, symbols to a piece): the shorter an item, the fewer pieces it has, and the more of them it must keep
-PIECES = ((100, 4), (40, 3), (LEAST, 2))
-PART, BANDS, GRAM_BITS, BINS = 400, 4, 20, 2 << 20
+#: (least item length, symbols to a piece, edits a piece may have)
+PIECES = ((32, 8, 1), (LEAST, 2, 0))
+PART, BANDS, GRAM_BITS, KEY_BITS = 400, 4, 20, 21
+RUN = 1 << 14  # places whose keys are made at a time, to stay in a core's cache
 BLOCK_CHARS = 4 << 20
 
 
@@ -71,22 +72,35 @@ class Alphabet:
         return sym[keep].astype(np.uint32), keep, ends
 
 
-def walk_keys(sym: np.ndarray, starts: np.ndarray, window: int, steps: int, walk: int, tables: int) -> list[np.ndarray]:
-    """Keys of the windows in `tables` tables of one walk."""
+def sixths(sym: np.ndarray) -> np.ndarray:
+    """Six bits of each symbol, mixed."""
+    known = np.flatnonzero(np.bincount(sym, minlength=1))
+    table = np.zeros(int(known[-1]) + 1 if len(known) else 1, np.uint8)
+    table[known] = (mix(known.astype(np.uint64)) >> np.uint64(58)).astype(np.uint8)
+    return table[sym]
+
+
+def walk_keys(sym: np.ndarray, bits: np.ndarray, starts: np.ndarray, window: int, steps: int, walk: int, tables: int) -> list[np.ndarray]:
+    """Keys of the windows in `tables` tables of one walk; sym, and its `sixths`, go on for at least `steps` symbols after
+    the last window's start."""
     rng = np.random.default_rng((walk, window))
     moves = rng.integers(0, 2, (steps, 64), dtype=np.uint8)  # the bit of (step, symbol), symbols taken mod 64
     picks = [set(rng.choice(steps, SAMPLES, replace=False).tolist()) for _ in range(tables)]
-    small = (mix(sym.astype(np.uint64)) >> np.uint64(58)).astype(np.uint8)
     at, end = starts.copy(), starts + window
-    keys = [np.full(len(starts), t + 1, np.uint64) for t in range(tables)]
+    keys = [np.full(len(starts), t + 1, np.uint32) for t in range(tables)]
     for j in range(steps):
-        inside = at < end
-        here = np.minimum(at, len(sym) - 1)
-        for t in range(tables):
-            if j in picks[t]:
-                keys[t] = keys[t] * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, sym[here] + 1, 0).astype(np.uint64)
-        at += moves[j][small[here]]
-    return [mix(k ^ np.uint64(walk * 64 + t)) for t, k in enumerate(keys)]
+        mine = [t for t in range(tables) if j in picks[t]]
+        if mine:
+            here = (sym[at] + np.uint32(1)) * (at < end)
+            for t in mine:
+                keys[t] = keys[t] * np.uint32(0x9E3779B1) + here
+        at += moves[j][bits[at]]
+    for t, k in enumerate(keys):
+        k ^= np.uint32(walk * 64 + t)
+        k ^= k >> np.uint32(16)
+        k *= np.uint32(0x85EBCA6B)
+        k ^= k >> np.uint32(13)
+    return keys
 
 
 def edit_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -120,53 +134,100 @@ def grams(sym: np.ndarray, size: int) -> np.ndarray:
     return h >> np.uint32(32 - GRAM_BITS)
 
 
-class Pieces:
-    """Items cut into pieces of `size` symbols that don't overlap. Each of k edits spoils one piece at most, and the others
-    are shifted by at most k against each other, so a place within k edits has all pieces but k on k + 1 neighbouring
-    diagonals. Pieces are counted in bins of diagonals, BANDS + 1 of which hold any k + 1 neighbours: no place is missed. What comes in are parts of items, as
-    (item, offset, symbols): of an item within MAX_EDITS, some part is so too."""
+def deletion_keys(sym: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """For each symbol of a run of `size`, a hash of the run without it, at each place of sym. Of two runs at edit distance
+    1 at most, one of which begins where the other does, some key is equal."""
+    n = max(0, len(sym) - size + 1)
+    terms = [sym.astype(np.uint32) * np.uint32(pow(0x9E3779B1, e, 1 << 32)) for e in range(size)]
+    head, tails = np.zeros(n, np.uint32), [np.zeros(n, np.uint32)]
+    for d in range(size - 1, 0, -1):
+        tails.append(tails[-1] + terms[size - 1 - d][d : d + n])
+    for d in range(size):
+        yield (head + tails[size - 1 - d]) * np.uint32(0x85EBCA6B)
+        if d < size - 1:
+            head = head + terms[size - 2 - d][d : d + n]
+
 
-    def __init__(self, parts: list[tuple[int, int, np.ndarray]], size: int):
+class Pieces:
+    """Items cut into pieces of `size` symbols that don't overlap. A place within k edits holds each piece that isn't
+    edited, and all of them on k + 1 neighbouring diagonals. Where a piece may have an edit (`loose`), k // 2 pieces at most
+    have more; else k at most have one. So the place has all pieces but these, and no place is missed: pieces are counted
+    in bins of diagonals, BANDS + 1 of which hold any k + 1 neighbours. Pieces with an edit are found by equal runs that lack
+    a symbol. What comes in are parts of items, as (item, offset, symbols): of an item within MAX_EDITS, some part is so
+    too."""
+
+    def __init__(self, parts: list[tuple[int, int, np.ndarray]], size: int, loose: int):
         owner, lead, items = zip(*parts, strict=True)
         n = np.asarray([len(x) for x in items])
         many, edits = n // size, (MAX_EDITS * n).astype(np.int64)
-        self.items, self.lead, self.size, self.least, self.reach = np.asarray(owner), np.asarray(lead), size, many - edits, int((n + edits).max())
+        self.items, self.lead, self.size, self.loose, self.reach = np.asarray(owner), np.asarray(lead), size, loose, int((n + edits).max())
+        self.least = many - edits // (1 + loose)
+        assert (self.least > 0).all() or not loose
         self.width = np.maximum(1, -(-edits // BANDS))
-        names = np.concatenate([grams(x, size)[::size] for x in items])
-        order = np.argsort(names, kind="stable")
-        self.owner = np.repeat(np.arange(len(items)), many)[order]
-        self.offset = np.concatenate([np.arange(m) * size for m in many])[order]
-        self.count = np.bincount(names, minlength=1 << GRAM_BITS).astype(np.int32)
-        self.first = (np.cumsum(self.count) - self.count).astype(np.int32)
+        self.owner = np.repeat(np.arange(len(items)), many)
+        self.offset = np.concatenate([np.arange(m) * size for m in many])
         self.edits, self.triples = edits, [grams(x, 3) for x in items]
+        names = [np.concatenate([k[::size] for k in one]) for one in zip(*(self.names_of(x) for x in items), strict=True)]
+        rows = np.tile(np.arange(len(self.owner)), len(names))
+        every = np.concatenate(names)
+        order = np.argsort(every, kind="stable")
+        self.rows = rows[order].astype(np.int32)
+        self.keys, first, count = np.unique(every[order], return_index=True, return_counts=True)
+        self.first, self.count = first.astype(np.int32), count.astype(np.int32)
+        lead = (self.keys >> np.uint32(32 - KEY_BITS)).astype(np.int64)
+        self.maybe = np.zeros(1 << KEY_BITS, bool)
+        self.maybe[lead] = True
+        of_lead = np.bincount(lead, minlength=1 << KEY_BITS)
+        self.most, self.begin = int(of_lead.max()), (np.cumsum(of_lead) - of_lead).astype(np.int32)
+
+    def names_of(self, sym: np.ndarray) -> Iterator[np.ndarray]:
+        if self.loose:
+            yield from deletion_keys(sym, self.size)
+        else:
+            yield grams(sym, self.size) << np.uint32(32 - GRAM_BITS)
+
+    def hits(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, piece) wherever sym holds a piece, some more than once."""
+        places, keys = [], []
+        for c in range(0, max(0, len(sym) - self.size + 1), RUN):
+            for names in self.names_of(sym[c : c + RUN + self.size - 1]):
+                at = np.flatnonzero(self.maybe[names >> np.uint32(32 - KEY_BITS)])
+                places.append(at + c)
+                keys.append(names[at])
+        at, names = np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.uint32), *keys])
+        key, begin = np.full(len(names), -1, np.int32), self.begin[names >> np.uint32(32 - KEY_BITS)]
+        for k in range(self.most):  # keys that begin alike are neighbours
+            same = self.keys[np.minimum(begin + k, len(self.keys) - 1)] == names
+            key[same] = begin[same] + k
+        found = np.flatnonzero(key >= 0)
+        at, key = at[found], np.minimum(key[found], len(self.keys) - 1)
+        n = self.count[key]
+        rows = self.rows[np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return np.repeat(at, n), rows
 
     def places(self, sym: np.ndarray) -> np.ndarray:
-        """Rows (item, least and greatest place of its start) where enough pieces are on neighbouring diagonals."""
-        names, out = grams(sym, self.size), []
-        chunk = min(len(names), max(4 * self.reach, min(1 << 17, int(BINS / (1 / self.width).sum()))))
-        bins = (chunk + 2 * self.reach) // self.width + BANDS + 2
+        """Rows (item, least and greatest place of its start) where enough pieces are on neighbouring diagonals. Bins are
+        numbered over all items; windows of BANDS + 1 of them begin at bins that hold a piece."""
+        if self.loose:  # the last run may lack its last symbol
+            sym = np.append(sym, np.uint32(0))
+        hit, rows = self.hits(sym)
+        bins = (len(sym) + self.reach) // self.width + BANDS + 2
         base = np.cumsum(bins) - bins
-        least = np.repeat(self.least, bins)[: -BANDS]
-        width = self.width[self.owner].astype(np.int32)
-        shift = base[self.owner] * self.width[self.owner] + self.reach - self.offset
-        if (base * self.width).max() + chunk + 2 * self.reach < 1 << 31:
-            shift = shift.astype(np.int32)
-        for c in range(0, len(names), chunk or 1):  # a place whose first whole piece is in a chunk ends within its reach
-            part = names[c : c + chunk + self.reach]
-            n = self.count[part]
-            hit = np.flatnonzero(n)
-            n = n[hit]
-            rows = np.repeat(self.first[part[hit]] - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)
-            at = (np.repeat(hit.astype(np.int32), n) + shift[rows]) // width[rows]
-            sums = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=int(bins.sum())))])
-            full = np.flatnonzero(sums[BANDS + 1 :] - sums[: -BANDS - 1] >= least)
-            full = self.distinct(full, least, at, rows, int(bins.sum()))
-            item = np.searchsorted(base, full, "right") - 1
-            new = np.flatnonzero((np.diff(full, prepend=-2) > 1) | (np.diff(item, prepend=-1) > 0))
-            first, last, item = full[new], full[np.append(new[1:], len(full)) - 1] if len(full) else full, item[new]
-            low = (first - base[item]) * self.width[item] + c - self.reach
-            out.append(np.stack([item, low, np.minimum(len(sym) - 1, low + (last - first + BANDS + 1) * self.width[item] - 1)], 1))
-        return self.close(np.concatenate(out), sym) if out else np.zeros((0, 3), np.int64)
+        at = (hit + self.reach - self.offset[rows]) // self.width[self.owner[rows]] + base[self.owner[rows]]
+        pairs = np.sort(at * len(self.owner) + rows)  # a piece counts once in a bin
+        pairs = pairs[new_groups(pairs)]
+        at, rows = pairs // len(self.owner), pairs % len(self.owner)
+        first = np.flatnonzero(new_groups(at))
+        full, least = at[first], self.least[self.owner[rows[first]]]
+        enough = np.searchsorted(at, full + BANDS + 1) - first >= least
+        full = self.distinct(full[enough], least[enough], at, rows)
+        item = np.searchsorted(base, full, "right") - 1
+        new = np.flatnonzero((np.diff(full, prepend=-BANDS - 2) > BANDS + 1) | (np.diff(item, prepend=-1) > 0))
+        if not len(new):
+            return np.zeros((0, 3), np.int64)
+        first, last, item = full[new], full[np.append(new[1:], len(full)) - 1], item[new]
+        low = (first - base[item]) * self.width[item] - self.reach
+        return self.close(np.stack([item, low, np.minimum(len(sym) - 1, low + (last - first + BANDS + 1) * self.width[item] - 1)], 1), sym)
 
     def close(self, places: np.ndarray, sym: np.ndarray) -> np.ndarray:
         """Those where enough of all the item's runs of three are on these diagonals: an edit spoils three at most."""
@@ -183,21 +244,13 @@ class Pieces:
         part, low, high = places[keep].T
         return np.stack([self.items[part], low - self.lead[part], high - self.lead[part]], 1)
 
-    def distinct(self, full: np.ndarray, least: np.ndarray, at: np.ndarray, rows: np.ndarray, bins: int) -> np.ndarray:
-        """Those of the windows of bins `full` that hold enough pieces when each piece counts once."""
-        some = np.zeros(bins, bool)
-        some[(full[:, None] + np.arange(BANDS + 1)).ravel()] = True
-        mine = np.flatnonzero(some[at])
-        pairs = np.unique(at[mine].astype(np.int64) * len(self.owner) + rows[mine])
-        at, rows = pairs // len(self.owner), pairs % len(self.owner)
-        for again in (False, True):
-            low, high = np.searchsorted(at, full), np.searchsorted(at, full + BANDS + 1)
-            if again:
-                n = high - low
-                every = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                once = np.unique(np.repeat(np.arange(len(full)), n) * len(self.owner) + rows[every])
-                return full[np.bincount(once // len(self.owner), minlength=len(full)) >= least[full]]
-            full = full[high - low >= least[full]]
+    def distinct(self, full: np.ndarray, least: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Those of the windows that begin at bins `full` that hold enough pieces when each counts once; at is sorted."""
+        low = np.searchsorted(at, full)
+        n = np.searchsorted(at, full + BANDS + 1) - low
+        every = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        once = np.unique(np.repeat(np.arange(len(full)), n) * len(self.owner) + rows[every])
+        return full[np.bincount(once // len(self.owner), minlength=len(full)) >= least]
 
 
 class ItemIndex:
@@ -222,9 +275,11 @@ class ItemIndex:
             offset = starts - np.repeat(base[:-1], [len(self.items[i]) - window + 1 for i in mine])
             n = tables_needed()
             found = []
+            sym = np.append(sym, np.zeros(steps, sym.dtype))
+            bits = sixths(sym)
             for walk in range(-(-n // TABLES_PER_WALK)):
                 width = min(TABLES_PER_WALK, n - walk * TABLES_PER_WALK)
-                for keys in walk_keys(sym, starts, window, steps, walk, width):
+                for keys in walk_keys(sym, bits, starts, window, steps, walk, width):
                     order = np.argsort(keys, kind="stable")
                     found.append((keys[order], owner[order], offset[order]))
             self.tables.append((window, stride, steps, found))
@@ -233,11 +288,11 @@ class ItemIndex:
             cuts = np.linspace(0, len(s), -(-len(s) // PART) + 1).astype(int).tolist()
             parts += [(i, a, s[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.pieces, most = [], PART + 1
-        for least, size in PIECES:
+        for least, size, loose in PIECES:
             mine = [x for x in parts if least <= len(x[2]) < most]
             most = least
             if mine:
-                self.pieces.append(Pieces(mine, size))
+                self.pieces.append(Pieces(mine, size, loose))
         for i, s in enumerate(self.items):
             if 0 < len(s) < LEAST:
                 self.exact.setdefault(len(s), []).append(i)
@@ -245,6 +300,8 @@ class ItemIndex:
     def candidates(self, sym: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> np.ndarray:
         """Rows (text, item, place of the item's start in sym) to verify."""
         out = []
+        padded = np.append(sym, np.zeros(max([0, *(t[2] for t in self.tables)]), sym.dtype))
+        bits = sixths(padded)
         for window, stride, steps, found in self.tables:
             starts = np.concatenate([np.arange(a, b - window + 1, stride) for a, b in zip(ends[:-1], ends[1:], strict=True)] or [np.zeros(0, np.int64)])
             if not len(starts):
@@ -253,13 +310,14 @@ class ItemIndex:
             at = 0
             for walk in range(-(-len(found) // TABLES_PER_WALK)):
                 width = min(TABLES_PER_WALK, len(found) - at)
-                for keys in walk_keys(sym, starts, window, steps, walk, width):
+                for keys in walk_keys(padded, bits, starts, window, steps, walk, width):
                     table, owner, offset = found[at]
                     at += 1
-                    low, high = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-                    hit = np.flatnonzero(high > low)
-                    n = (high - low)[hit]
-                    rows = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    low = np.searchsorted(table, keys, "left")
+                    hit = np.flatnonzero(table[np.minimum(low, len(table) - 1)] == keys)
+                    low = low[hit]
+                    n = np.searchsorted(table, keys[hit], "right") - low
+                    rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     w = np.repeat(hit, n)
                     out.append(np.stack([texts[w], owner[rows], starts[w] - offset[rows]], 1))
         for size, known in self.exact.items():

@@ -3,7 +3,10 @@
 Every byte that a `length`-byte string covers which also starts in a document of smaller id is removed. Strings get
 bucket names by refinement: names of q-grams come from pairs of names of shorter grams, the second at a later offset,
 1-2-4-8-16-24-32-50, so each step reuses the last one's names. Only one position in about twelve is exchanged: each
-string is filed under its anchor, the 24-gram of least name inside it, and strings with one anchor make a run.
+string is filed under its anchor, the 24-gram of least name inside it, and strings with one anchor make a run. 24-grams
+that a first pass finds to be common, by counts in bounded room, come last in that order. So they are anchors only where a
+string holds nothing else, their runs are copies of few kinds, and each block of input sends one of a kind: no bucket of a
+passage that many documents share, or of blanks, grows with the documents that hold it.
 
 1. Runs are sorted by anchor bucket, then refined by the name of all bytes that the run's strings cover. A run whose
    bytes a smaller document has is repeated as a whole; anchors of one document only are dropped.
@@ -27,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklore.llm import blobs
-from worklore.llm.blobs import mix, spread
-from worklore.llm.common import table, written
+from worklore.llm.blobs import mix, new_groups, spread
+from worklore.llm.common import drop_written, table, written
 
 LENGTH = 50
 GRAM = 24
 POSITION_BITS = 23
+#: of the 24-grams that tasks report as frequent, so many are used at most, and those of this count at least
+COMMON, LEAST_COUNT = 1 << 16, 32
 RUNS, RANGES, CHECKS, TEXTS, CONTEXTS = range(5)
 NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -52,9 +57,28 @@ def gram_names(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.
     return n24, refine(n32, length - 32)
 
 
-def least(names: np.ndarray, width: int) -> np.ndarray:
-    """Position of the least name among each `width` successive ones, the leftmost of equals."""
-    m = (names >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS)) | np.arange(len(names), dtype=np.uint64)
+class Common:
+    """Names of 24-grams that are known as common."""
+
+    def __init__(self, names: np.ndarray):
+        self.names, self.maybe = np.sort(names), np.zeros(1 << 22, bool)
+        self.maybe[names >> np.uint64(42)] = True
+
+    def among(self, names: np.ndarray) -> np.ndarray:
+        """Positions of those."""
+        may = np.flatnonzero(self.maybe[names >> np.uint64(42)])
+        if not len(may):
+            return may
+        at = np.minimum(np.searchsorted(self.names, names[may]), len(self.names) - 1)
+        return may[self.names[at] == names[may]]
+
+
+def least(names: np.ndarray, width: int, common: Common | None = None) -> np.ndarray:
+    """Position of the least name among each `width` successive ones, the leftmost of equals; common names are the
+    greatest."""
+    m = (names >> np.uint64(POSITION_BITS + 1) << np.uint64(POSITION_BITS)) | np.arange(len(names), dtype=np.uint64)
+    if common is not None:
+        m[common.among(names)] |= np.uint64(1 << 63)
     span = 1
     while 2 * span <= width:
         m = np.minimum(m[:-span], m[span:])
@@ -64,12 +88,12 @@ def least(names: np.ndarray, width: int) -> np.ndarray:
     return (m & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
 
 
-def runs_of(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...] | None:
+def runs_of(raw: np.ndarray, ends: np.ndarray, length: int, common: Common | None = None) -> tuple[np.ndarray, ...] | None:
     """Of all strings inside one document: (document, first start, last start, anchor, anchor's name, bytes' name)."""
     if len(raw) < length:
         return None
     n24, whole = gram_names(raw, length, GRAM)
-    anchor = least(n24, length - GRAM + 1)
+    anchor = least(n24, length - GRAM + 1, common)
     doc = np.searchsorted(ends, np.arange(len(whole)), "right") - 1
     ok = np.arange(len(whole)) + length <= ends[doc + 1]
     starts = np.flatnonzero(ok)
@@ -93,14 +117,28 @@ def tags(column: pa.Array, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _same_as_before(*columns: np.ndarray) -> np.ndarray:
-    out = np.ones(len(columns[0]), bool)
-    out[:1] = False
-    for c in columns:
-        out[1:] &= c[1:] == c[:-1]
-    return out
+    return ~new_groups(*columns)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, count) of the 24-grams that are the most frequent in a task."""
+    often = blobs.Frequent()
+    for part in blobs.text_blocks(batches):
+        raw, _ = blobs.text_bytes(part.column("text"))
+        for at in range(0, len(raw), blobs.BLOCK_BYTES):
+            piece = raw[at : at + blobs.BLOCK_BYTES + GRAM - 1]
+            if len(piece) >= GRAM:
+                n = NAMES[piece]
+                for offset in (1, 2, 4, 8):
+                    n = refine(n, offset)
+                often.add(refine(n, GRAM - 16))
+    names, counts = often.reported()
+    if len(names):
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], ["name", "count"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    common, out = Common(names), blobs.Dealer()
     for part in blobs.text_blocks(batches, size=min(blobs.BLOCK_BYTES, 1 << POSITION_BITS)):
         raw, ends = blobs.text_bytes(part.column("text"))
         ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -109,7 +147,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Itera
         step = min(blobs.BLOCK_BYTES, 1 << POSITION_BITS) - length
         for at in range(0, max(1, len(raw)), step):
             piece = raw[at : at + step + length - 1]
-            found = runs_of(piece, np.clip(ends - at, 0, len(piece)), length)
+            found = runs_of(piece, np.clip(ends - at, 0, len(piece)), length, common)
             if found is None:
                 continue
             d, first, last, a, key, name = found
@@ -120,10 +158,12 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Itera
             follows = _same_as_before(key, name)
             lead = np.maximum.accumulate(np.where(follows, 0, np.arange(len(key))))
             settled = doc > doc[lead]
-            rows = list(blobs.deal(spread(doc[settled], buckets), [doc[settled], tag[d[settled]], first[settled].astype(np.uint32), last[settled].astype(np.uint32)], RANGES))
+            out.add(RANGES, spread(doc[settled], buckets), [doc[settled], tag[d[settled]], first[settled].astype(np.uint32), last[settled].astype(np.uint32)])
             k = ~settled
-            rows += blobs.deal(spread(key[k], buckets), [key[k], name[k] >> np.uint64(16), doc[k], tag[d[k]], first[k].astype(np.uint32), (a - first)[k].astype(np.uint8), (last - first)[k].astype(np.uint8)], RUNS)
-            yield blobs.batch(rows)
+            out.add(RUNS, spread(key[k], buckets), [key[k], name[k] >> np.uint64(16), doc[k], tag[d[k]], first[k].astype(np.uint32), (a - first)[k].astype(np.uint8), (last - first)[k].astype(np.uint8)])
+            if out.full():
+                yield from out.batches()
+    yield from out.batches()
 
 
 def _settle(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -166,19 +206,32 @@ def _settle(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
 
 
 def _texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Texts on the way to their marks: payload holds ids, tags, sizes padded to bytes in a column of its own."""
+    """Texts on the way to their marks: payload holds ids, tags, sizes, and bytes in a column of its own."""
+    held: dict[int, list[tuple]] = {}
+    size = 0
+
+    def rows() -> list[tuple[int, int, bytes]]:
+        out = []
+        for b, parts in held.items():
+            ids, tag, sizes, text = blobs.merge(parts)
+            head = blobs.encode([ids, tag, sizes])
+            out.append((b, TEXTS, len(head).to_bytes(4, "little") + head + blobs.encode([text])))
+        held.clear()
+        return out
+
     for part in blobs.text_blocks(batches):
         raw, ends = blobs.text_bytes(part.column("text"))
         ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         tag, where, sizes = tags(part.column("text"), raw, ends), spread(ids, buckets), np.diff(ends)
-        rows = []
         for b in np.unique(where).tolist():
             mine = np.flatnonzero(where == b)
-            text = np.concatenate([raw[ends[i] : ends[i + 1]] for i in mine])
-            head = blobs.encode([ids[mine], tag[mine], sizes[mine]])
-            rows.append((b, TEXTS, len(head).to_bytes(4, "little") + head + blobs.encode([text])))
-        if rows:
-            yield blobs.batch(rows)
+            held.setdefault(b, []).append((ids[mine], tag[mine], sizes[mine], np.concatenate([raw[ends[i] : ends[i + 1]] for i in mine])))
+        size += len(raw)
+        if size >= blobs.BLOCKS_BYTES:
+            yield blobs.batch(rows())
+            size = 0
+    if held:
+        yield blobs.batch(rows())
 
 
 def _with_marks(batches: Iterator[pa.RecordBatch]) -> tuple[list, dict[int, list]]:
@@ -307,7 +360,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = d.where("doc_id is not null")
     partitions, buckets = blobs.counts(docs)
-    runs = named.mapInArrow(lambda b: _runs(b, length, buckets), blobs.DDL)
+    often = named.mapInArrow(_often, "name long, count long").groupBy("name").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_COUNT)
+    # COMMON names at most; any choice of them gives the same result
+    common = often.orderBy(F.desc("count"), "name").limit(COMMON).toArrow().column("name").to_numpy().view(np.uint64)
+    runs = named.mapInArrow(lambda b: _runs(b, length, buckets, common), blobs.DDL)
     settled = written(blobs.exchange(runs, partitions).mapInArrow(lambda b: _settle(b, buckets), blobs.DDL), "settled")
     texts = named.mapInArrow(lambda b: _texts(b, buckets), blobs.DDL)
     checks = texts.unionByName(settled.where(F.col("kind") == CHECKS))

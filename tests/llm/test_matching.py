@@ -70,28 +70,120 @@ def test_components(spark, k, num, den):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
 
 
-@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (50, 100)])
-def test_every_linked_pair_shares_a_signature(num, den):
-    rng = np.random.default_rng(7)
-    limit, pairs = jaccard_join.light_limit(num, den), 0
+def linked_pairs(num, den, seed=7):
+    rng = np.random.default_rng(seed)
     for size in [*range(1, 40), 60, 100, 333, 900]:
-        for _ in range(12):
+        for _ in range(16):
             pool = np.unique(rng.integers(0, 1 << 63, 3 * size).astype(np.uint64))
             a = rng.choice(pool, size, replace=False)
             drop, add = rng.integers(0, max(1, size // 3) + 1, 2)
             b = np.concatenate([rng.permutation(a)[drop:], rng.choice(np.setdiff1d(pool, a), min(add, len(pool) - size), replace=False)])
             a, b = np.unique(a), np.unique(b)
-            if not len(b) or not jaccard_join.linked(a, b, num, den):
-                continue
-            pairs += 1
-            bounds = np.asarray([0, len(a), len(a) + len(b)])
-            sig, owner, sketch, drawn = jaccard_join.signatures(np.concatenate([a, b]), bounds, np.asarray([0, 1]), num, den)
-            assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size, (len(a), len(b), limit)
-            sketches = [sketch[drawn == i].tobytes() for i in (0, 1)]
-            assert jaccard_join.Members([len(a), len(b)], sketches, num, den).may_link(1, np.asarray([0])).tolist() == [0]
+            if len(b) and not np.array_equal(a, b) and jaccard_join.linked(a, b, num, den):
+                yield a, b
+
+
+@pytest.mark.parametrize("limit", [0, 6, 13, 20])
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (70, 100)])
+def test_every_linked_pair_meets_in_a_list_and_passes(num, den, limit):
+    pairs = 0
+    for a, b in linked_pairs(num, den):
+        pairs += 1
+        x = np.concatenate([a, b])
+        bounds = np.asarray([0, len(a), len(x)])
+        common = np.unique(x[::3])
+        order = jaccard_join.Order(common, 100 + common % np.uint64(7))
+        reach = -(-num * (limit + 1) // den)
+        heavy = np.asarray([i for i in (0, 1) if bounds[i + 1] - bounds[i] >= reach], np.int64)
+        names, owner, place, _ = order.first(x, bounds, heavy, num, den)
+        met = False
+        for name in np.intersect1d(names[owner == 0], names[owner == 1]):
+            p, q = place[(owner == 0) & (names == name)][0], place[(owner == 1) & (names == name)][0]
+            met |= bool(jaccard_join.may_link(len(a), p, len(b), q, num, den))
+        if max(len(a), len(b)) <= limit:
+            met |= bool(np.intersect1d(jaccard_join.light_signatures(a, num, den), jaccard_join.light_signatures(b, num, den)).size)
+        assert met, (len(a), len(b))
+        difference = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+        assert jaccard_join.least_difference(*jaccard_join.parities(x, bounds)) <= difference <= (den - num) * (len(a) + len(b)) / (den + num)
     assert pairs > 50
 
 
+def test_boundary_follows_cost():
+    sizes = {s: 10 for s in range(1, 25)}
+    limits = [jaccard_join.choose_limit(sizes, r, 85, 100) for r in (0.0, 0.05, 0.2, 1.0)]
+    assert limits == sorted(limits) and limits[0] < limits[-1]
+    assert jaccard_join.choose_limit({}, 0.5, 85, 100) == 0
+
+
+def test_counts_of_common_shingles_in_bounded_room(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COUNTED", 500)
+    monkeypatch.setattr(jaccard_join, "ROOM", 64)
+    rng, often = np.random.default_rng(1), jaccard_join.Frequent()
+    for _ in range(60):
+        often.add(np.concatenate([np.arange(5, dtype=np.uint64), rng.integers(100, 1 << 60, 95).astype(np.uint64)]))
+    names, counts = often.reported()
+    assert set(range(5)) <= set(names.tolist()) and len(often.names) <= 64 and counts.max() <= 60
+
+
+def thue_morse(bits):
+    t = "a"
+    for _ in range(bits):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t
+
+
+def test_names_of_words_with_structure_differ(spark):
+    a = thue_morse(11)
+    rows = [(1, a + " x y z"), (2, a.translate(str.maketrans("ab", "ba")) + " x y z"), (3, a + " x y z")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_long_lists_and_blocks(monkeypatch, spark):
+    """Lists beyond LONG members get a leader by aggregation, and are scanned in pairs of blocks."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            w[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows, 4, 85, 100)
+    real = jaccard_join._scan
+
+    def shorter(batches, num, den):
+        jaccard_join.LONG = 8
+        return real(batches, num, den)
+
+    monkeypatch.setattr(jaccard_join, "_scan", shorter)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_join_query_against_brute_force(spark, tmp_path):
+    rows = corpus(seed=5, n=60)
+    rows += [(5000, "one text under an id"), (5000, "another text under the same id"), (7, "Very Long " + "word another " * 40000), (8, "very long " + "word another " * 40000)]
+    spark.createDataFrame([(i, t, "en", 0) for i, t in rows], "doc_id long, text string, component_id string, n int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = jaccard_join.op3_jaccard_join(spark, str(tmp_path)).collect()
+    alone = [r for r in rows if r[0] != 5000]
+    want = brute_components(alone, 4, 85, 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] != 5000} == want
+    assert len(got) == len(rows)
+
+
+def test_one_of_each(spark):
+    base = [f"w{i}" for i in range(80)]
+    near = " ".join([*base[:40], "changed", *base[41:]])
+    text = " ".join(base)
+    rows = [(2, text, 0, "a"), (2, "quite another text under the id", 1, "b"), (3, near, 2, "c"), (4, text, 3, "d"), (5, None, 4, "e"), (5, None, 4, "e"), (6, "", 5, "f"), (None, text, 6, "g"), (7, "a b", 7, "h"), (7, "a b", 7, "h"), (8, "A  B", 8, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, odd_id int, TAG string")
+    got = sorted((r["odd_id"] for r in jaccard_join.one_of_each(df).collect()))
+    assert got == [0, 1, 4, 4, 5, 6, 7] and jaccard_join.one_of_each(df).columns == df.columns
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_one_hot_group(spark):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]

@@ -1,103 +1,81 @@
 """N-gram Jaccard join: size-aware, heavy and light.
 
 A document's set holds its distinct word shingles. Two sets are linked when den * |A & B| >= num * |A | B|. Equal sets
-are one class from the start, named by a 64-bit hash; all further work is on classes.
+are one class from the start, named by a 128-bit BLAKE2 digest of their sorted shingles; all further work is on classes.
 
 Light sets (few shingles): a linked pair shares a subset of the size that the larger one's link needs, so each light set
-enumerates its subsets of those fixed sizes and equal subsets meet. Heavy sets: hash space is cut into one part more than
-a linked pair's sets can differ in, so a pair agrees on a whole part; each part's shingles name an inverted list, and
-lists are scanned. Lists on parts, not on single shingles, keep a passage that many documents share from joining them.
-Sizes are in classes with their own number of parts; sets near a class's upper end also enter the next one. The boundary
-between light and heavy is where the subsets begin to cost more than `LIGHT_COST` times the lists' entries; sets within a
-link's reach of it enter both ways. No link is lost: docstrings of `light_sizes` and `heavy_level` give the bounds.
-
-Candidates are verified on whole sets. Only components are asked for, so within a list each member is first paired with
-one leader, then with the closest member of another component; lists whose members are in one component need no more,
-and in the rest all members of different components are paired. Members are paired only if their sketches (a byte of each part's name, and its size) allow a link; so a part
-that a common passage fills costs comparisons of bytes within its list, and no rows. No step lists all pairs of a group
-of copies.
+enumerates its subsets of those fixed sizes, and equal subsets meet in a list. Heavy sets: inverted lists on shingles. The
+shingles of all sets have one order, in which common ones come last; a linked pair shares one of the first few of both
+(`prefix`), so a set enters the lists of these alone, with its size and the shingle's place. Lists are scanned: where the
+first shingle that two sets share stands bounds how many more they can share (`may_link`). Which shingles are common comes
+from counts that every task sums up in bounded room (`Frequent`); any order gives the same links, a good one short lists.
+The boundary between light and heavy is the one of least cost for the sizes and the recurrence of shingles that the first
+pass counts (`choose_limit`); sets within a link's reach of it enter both ways.
+
+Only components are asked for. First each member of a list is paired with one leader, the member that holds the shingle
+earliest and may be linked; then, in the lists that still have members of several components, members of different ones.
+So groups of copies give rows in proportion to their members. Pairs are tested by sketches (`parities`), which never
+refuse a link, and then on whole texts. Lists of more than LONG members get their leader by aggregation, and are scanned in
+pairs of blocks of BLOCK members, by as many tasks.
 
 Edge cases: null or empty text has an empty set, linked with nothing; rows with null id keep their set's size, have a null
-component and link nothing; repeated rows give one output row each; an empty table gives an empty result.
+component and link nothing; repeated rows give one output row each, and an id may come with several texts; other columns
+are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklore.llm import blobs
-from worklore.llm.blobs import mix, spread
-from worklore.llm.common import drop_written, table, written
+from worklore.llm.blobs import Frequent, mix, new_groups
+from worklore.llm.common import drop_written, fanout, fresh_name, held_small, table, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
-LIGHT_COST, CLASS_RATIO = 4, 1.5
-META, SIGNATURES, SKETCHES = range(3)
 MULTIPLIERS = mix(np.arange(11, 27, dtype=np.uint64)) | np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-LOWER = np.arange(1, 257, dtype=np.uint64)
-LOWER[ord("A") : ord("Z") + 1] += np.uint64(32)
-BLANK = np.zeros(256, bool)
-BLANK[[0x20, *range(0x09, 0x0E)]] = True
+CACHED_WORDS, CACHED_BYTES = 100_000, 48
+#: of the shingles that tasks report as frequent, so many are used at most, and those of this count at least
+COMMON, LEAST_COUNT = 1 << 18, 16
+#: largest size that can be light; what testing a candidate costs, in list entries
+LIGHT_MOST, TEST_COST = 24, 40
+LONG, BLOCK = 1024, 2048
+SALT = 256
 
 
-def _memo(f: Callable) -> Callable:
-    known: dict = {}
+class Words(dict):
+    """64-bit names of words, by BLAKE2. Short ones are kept, a bounded number of them."""
 
-    def get(*args):
-        if args not in known:
-            known[args] = f(*args)
-        return known[args]
-
-    get.__doc__ = f.__doc__
-    return get
-
-
-def new_groups(*columns: np.ndarray) -> np.ndarray:
-    """True where any column differs from the row before."""
-    out = np.zeros(len(columns[0]), bool)
-    out[:1] = True
-    for c in columns:
-        out[1:] |= c[1:] != c[:-1]
-    return out
+    def __missing__(self, word: bytes) -> int:
+        name = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = name
+        return name
 
 
 class Shingles:
-    """Sets of blocks of texts. A word's name comes from running sums of a polynomial over the block's bytes, so that no
-    word is looked at one by one; a shingle's name mixes its words' names."""
+    """Sets of blocks of texts: a shingle's name mixes its words' names."""
 
     def __init__(self, k: int):
-        self.k = k
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if n > len(self.powers):
-            n = max(n, blobs.BLOCK_BYTES + 1)
-            self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
-            self.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)]))
-
-    def sets(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(names of all texts' distinct shingles, sorted within each text; n+1 bounds of the texts)."""
-        n_docs, k = len(ends) - 1, self.k
-        if not len(raw):
-            return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
-        self._grow(len(raw) + 1)
-        word = ~BLANK[raw]
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[ends] = True
-        starts = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
-        stops = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LOWER[raw] * self.powers[: len(raw)], dtype=np.uint64)])
-        h = mix((total[stops] - total[starts]) * self.inverse[starts] + (stops - starts).astype(np.uint64))
-        doc = np.searchsorted(ends, starts, "right") - 1
-        n_words = np.bincount(doc, minlength=n_docs)
+        self.k, self.words = k, Words()
+
+    def sets(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(names of all texts' distinct shingles, sorted within each text; n+1 bounds of the texts). Bytes' own lower()
+        and split() know just A-Z and the six ASCII blanks."""
+        k, each = self.k, [t.lower().split() for t in texts]
+        n_words = np.asarray([len(w) for w in each], np.int64)
+        h = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(each)), np.uint64, int(n_words.sum()))
+        doc = np.repeat(np.arange(len(texts)), n_words)
         names, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(h) >= k:
             whole = doc[: len(h) - k + 1] == doc[k - 1 :]
@@ -112,361 +90,405 @@ class Shingles:
             names, owner = np.concatenate([names, mix(np.asarray(few, np.uint64))]), np.concatenate([owner, short])
             order = np.argsort(owner, kind="stable")
             names, owner = names[order], owner[order]
-        bounds = np.searchsorted(owner, np.arange(n_docs + 1))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        for a, b in itertools.pairwise(bounds.tolist()):
             names[a:b].sort()
         fresh = new_groups(names, owner)
         names, owner = names[fresh], owner[fresh]
-        return names, np.searchsorted(owner, np.arange(n_docs + 1))
+        return names, np.searchsorted(owner, np.arange(len(texts) + 1))
 
     def of_texts(self, texts: list[bytes]) -> list[np.ndarray]:
-        ends = np.cumsum([0] + [len(t) for t in texts])
-        names, bounds = self.sets(np.frombuffer(b"".join(texts), np.uint8), ends)
+        names, bounds = self.sets(texts)
         return np.split(names, bounds[1:-1])
 
 
-def set_names(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Signed 64-bit name of each set."""
+def texts_of(part: pa.RecordBatch) -> list[bytes]:
+    return part.column("text").fill_null("").cast(pa.binary()).to_pylist()
+
+
+def set_names(names: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """128-bit name of each set."""
+    view = memoryview(np.ascontiguousarray(names)).cast("B")
+    return [blake2b(view[8 * a : 8 * b], digest_size=16).digest() for a, b in itertools.pairwise(bounds.tolist())]
+
+
+def parities(names: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A sketch of each set: shingles fall into as many bins as the set has shingles or more (a power of two), and each bin
+    keeps whether its number is odd. Sets that differ in k shingles differ in k bins at most. Sketches of twice the bins
+    fold in halves."""
     size = np.diff(bounds)
-    out = np.zeros(len(size), np.uint64)
-    full = np.flatnonzero(size)
-    if len(full):
-        both = np.add.reduceat(names, bounds[full]) + size[full].astype(np.uint64), np.bitwise_xor.reduceat(mix(names ^ np.uint64(0x5851F42D4C957F2D)), bounds[full])
-        out[full] = mix(both[0] * np.uint64(BASE) + both[1])
-    return out.view(np.int64)
+    bins = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, size))).astype(np.int64))
+    base = np.cumsum(bins) - bins
+    at = (mix(names ^ np.uint64(0x5851F42D4C957F2D)) & np.repeat(bins - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(base, size)
+    odd = np.packbits((np.bincount(at, minlength=int(bins.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[a // 8 : (a + n) // 8] for a, n in zip(base.tolist(), bins.tolist(), strict=True)]
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A number that the sets of two sketches differ in at least."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
-@_memo
+@lru_cache(None)
 def light_sizes(s: int, num: int, den: int) -> tuple[int, ...]:
     """Sizes of the subsets that a light set of s shingles enumerates. A linked pair shares at least ceil(num/den * b)
     shingles, b being the larger size; both sets enumerate that size, since it depends on b alone."""
-    return tuple(sorted({-(-num * b // den) for b in range(s, s * den // num + 1)}))
-
-
-@_memo
-def light_limit(num: int, den: int) -> int:
-    s = 1
-    while sum(math.comb(s + 1, c) for c in light_sizes(s + 1, num, den) if c <= s + 1) <= LIGHT_COST * 2 * (parts(s + 1, num, den)[0]):
-        s += 1
-    return s
+    return tuple(sorted({c for b in range(s, s * den // num + 1) if (c := -(-num * b // den)) <= s}))
 
 
-@_memo
-def classes(num: int, den: int) -> tuple[int, ...]:
-    """Upper ends of the size classes of heavy sets (the first also holds light sets within reach of the boundary)."""
-    out = [math.floor((light_limit(num, den) + 1) * CLASS_RATIO)]
-    while out[-1] < 1 << 40:
-        out.append(math.floor(out[-1] * CLASS_RATIO))
-    return tuple(out)
+@lru_cache(None)
+def light_cost(s: int, num: int, den: int) -> int:
+    return sum(math.comb(s, c) for c in light_sizes(s, num, den))
 
 
-@_memo
-def parts(upper: int, num: int, den: int) -> tuple[int, int]:
-    """(number of parts, slack) of a class: linked sets of sizes a, b differ in at most (den-num)/(den+num) * (a+b)
-    shingles, and one more part than that leaves a part that is equal; `slack` parts more may be empty in both, and make
-    linked sets agree on more than one part, which sketches test."""
-    differ = (den - num) * 2 * upper // (den + num)
-    slack = 3 + differ // 7
-    return differ + 1 + slack, slack
+def prefix(n, num: int, den: int):
+    """How many of its first shingles a set of n shingles enters. A linked pair shares num/den * n or more of them, so of
+    one more than the others, one is shared; and the first that is shared is among so many of either set."""
+    return n + (-num * n) // den + 1
 
 
-def levels(s: int, num: int, den: int) -> list[int]:
-    """Classes that a set of s shingles enters: its own, and the next if a linked set could be there. Two linked sets of
-    neighbouring classes meet in the upper one, whose parts allow for two sets of its upper size."""
-    ends = classes(num, den)
-    at = int(np.searchsorted(ends, s))
-    return [at, at + 1] if s * den // num > ends[at] else [at]
+def choose_limit(sizes: dict[int, int], recurring: float, num: int, den: int) -> int:
+    """The largest light size, by cost in list entries: a light set has one for each subset, a heavy one for each shingle
+    of its prefix, of which the share `recurring` meets a candidate that is to be tested. Sets in a link's reach of the
+    limit pay for both."""
+    heavy = lambda s: prefix(s, num, den) * (1 + recurring * TEST_COST)
+    cost = {}
+    for limit in range(LIGHT_MOST + 1):
+        reach = -(-num * (limit + 1) // den)
+        cost[limit] = sum(k * ((light_cost(s, num, den) if s <= limit else 0) + (heavy(s) if s >= reach else 0)) for s, k in sizes.items() if s <= LIGHT_MOST)
+    return min(cost, key=lambda x: (cost[x], x))
 
 
 def light_signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     whole, out = mix(s), []
     total = np.sum(whole, dtype=np.uint64)
     for c in light_sizes(len(s), num, den):
-        if c <= len(s):
-            left = np.asarray([np.sum(whole[list(x)], dtype=np.uint64) for x in itertools.combinations(range(len(s)), len(s) - c)], np.uint64)
-            out.append(mix(total - left + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64))))
+        left = np.asarray([np.sum(whole[list(x)], dtype=np.uint64) for x in itertools.combinations(range(len(s)), len(s) - c)], np.uint64)
+        out.append(mix(total - left + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64))))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def heavy_signatures(names: np.ndarray, bounds: np.ndarray, which: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
-    """(signatures, set of each; sketch bytes, set of each): the inverted lists that sets enter, a set being at `which` and entering class `level`:
-    one for each of the class's parts, but for those of few
-    shingles. Linked sets agree on more parts than the slack, and each leaves out only parts of so few shingles that
-    these are no more than the slack (if even the empty ones are more, it leaves out none); so of the parts on which they
-    agree, one is named by the set that leaves out more, and then by both."""
-    shape = {v: parts(classes(num, den)[v], num, den) for v in np.unique(level).tolist()}
-    m, slack = (np.asarray([shape[v][i] for v in level.tolist()], np.int64) for i in (0, 1))
-    size = bounds[which + 1] - bounds[which]
-    row = np.repeat(np.arange(len(which)), size)
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[which], size)
-    x = names[at]
-    part = ((x >> np.uint64(32)) * np.repeat(m, size).astype(np.uint64)) >> np.uint64(32)  # sorted, as the names are
-    starts = np.flatnonzero(new_groups(row, part))
-    sums, part, row = np.add.reduceat(mix(x), starts), part[starts], row[starts]
-    level_of = level.astype(np.uint64) << np.uint64(40)
-    sketch, place = np.zeros(2 * m.sum(), np.uint8), 2 * ((np.cumsum(m) - m)[row] + part.astype(np.int64))
-    sketch[place] = (mix(sums) & np.uint64(255)).astype(np.uint8)
-    sketch[place + 1] = np.minimum(255, np.diff(np.concatenate([starts, [len(x)]])))
-    count = np.minimum(255, np.diff(np.concatenate([starts, [len(x)]])))
-    # what each set leaves out: the parts of the most shingles at which these are no more than the slack
-    least = np.zeros((len(which), 8), np.int64)
-    np.add.at(least, (row, np.minimum(count, 7)), 1)
-    least[:, 0] = m - least[:, 1:].sum(1)
-    left_out = np.cumsum(least, axis=1)
-    bar = (left_out[:, :7] <= slack[:, None]).sum(1) - 1  # -1: even the empty parts are named
-    named = count > bar[row]
-    sums, part, row = sums[named], part[named], row[named]
-    for r in np.flatnonzero(bar < 0).tolist():
-        none = np.setdiff1d(np.arange(m[r], dtype=np.uint64), part[row == r])
-        sums, part, row = np.concatenate([sums, np.zeros(len(none), np.uint64)]), np.concatenate([part, none]), np.concatenate([row, np.full(len(none), r)])
-    return mix(sums + (part + level_of[row]) * np.uint64(0xC2B2AE3D27D4EB4F)), which[row], sketch, np.repeat(which, 2 * m)
-
-
-def signatures(names: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
-    """(signatures, set of each; sketch bytes, set of each) of the wanted sets of a block."""
-    limit = light_limit(num, den)
-    size = np.diff(bounds)
-    light = wanted[size[wanted] <= limit]
-    made = [light_signatures(names[bounds[d] : bounds[d + 1]], num, den) for d in light.tolist()]
-    sigs, owner = [*made], [np.full(len(x), d) for x, d in zip(made, light.tolist(), strict=True)]
-    heavy = wanted[size[wanted] >= -(-num * (limit + 1) // den)]
-    sketch, drawn = np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    if len(heavy):
-        entries = [(d, v) for d in heavy.tolist() for v in levels(int(size[d]), num, den)]
-        which, level = (np.asarray(c, np.int64) for c in zip(*entries, strict=True))
-        x, o, sketch, drawn = heavy_signatures(names, bounds, which, level, num, den)
-        sigs.append(x)
-        owner.append(o)
-    sig, owner = (np.concatenate(sigs), np.concatenate(owner)) if sigs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return sig, owner, sketch, drawn
-
-
-class Members:
-    """One list's members, by class, for finding those that may be linked by size and by sketch.
-
-    A sketch has, for each part of each class that its set enters, a byte of the part's name and the number of its
-    shingles. Where parts differ in either, sets differ in as many shingles as the numbers do, and in two at least where
-    the numbers are equal; these add up to a lower bound of what linked sets may differ in. Sets without a common class
-    (light ones) may be linked."""
-
-    def __init__(self, sizes: list[int], sketches: list[bytes], num: int, den: int):
-        self.sizes, self.num, self.den = np.asarray(sizes, np.int64), num, den
-        rows: dict[int, list[tuple[int, bytes]]] = {}
-        for i, (n, sketch) in enumerate(zip(sizes, sketches, strict=True)):
-            at = 0
-            for level in levels(n, num, den) if sketch else ():
-                m = parts(classes(num, den)[level], num, den)[0]
-                rows.setdefault(level, []).append((i, sketch[at : at + 2 * m]))
-                at += 2 * m
-        self.levels = {}
-        for level, found in rows.items():
-            both = np.frombuffer(b"".join(x for _, x in found), np.uint8).reshape(len(found), -1, 2)
-            place = np.full(len(sizes), -1, np.int64)
-            place[[i for i, _ in found]] = np.arange(len(found))
-            self.levels[level] = (place, both[:, :, 0], both[:, :, 1].astype(np.int16))
-
-    def may_link(self, i: int, among: np.ndarray) -> np.ndarray:
-        """Of the members at `among`, those that may be linked to member i, the closest by sketch first."""
-        n = self.sizes
-        among = among[self.den * np.minimum(n[i], n[among]) >= self.num * np.maximum(n[i], n[among])]
-        out, far, open_ = [], [], np.ones(len(among), bool)
-        for place, name, count in self.levels.values():
-            if place[i] < 0:
-                continue
-            mine = np.flatnonzero(open_ & (place[among] >= 0))
-            for j in range(0, len(mine), 4096):
-                pick = mine[j : j + 4096]
-                at = place[among[pick]]
-                gap = np.abs(count[at] - count[place[i]])
-                odd = (name[at] != name[place[i]]) & (gap == 0)
-                least = gap.sum(1) + odd.sum(1) + (odd & (count[at] < 255)).sum(1)
-                ok = (self.den + self.num) * least <= (self.den - self.num) * (n[i] + n[among[pick]])
-                out.append(among[pick[ok]])
-                far.append(least[ok])
-            open_[mine] = False
-        rest = among[open_]
-        found, far = np.concatenate([*out, rest]), np.concatenate([*far, np.zeros(len(rest), np.int64)])
-        return found[np.lexsort((found, far))]
+SETS_DDL = "kind int, doc_id long, tag long, n long, set binary, sketch binary, shingle long, count long"
+SETS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("count", pa.int64())])
+DOC, SHARED, RECURRING = range(3)
 
 
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return den * both >= num * (len(a) + len(b) - both)
+def _rows(schema: pa.Schema, length: int, /, **columns) -> pa.RecordBatch:
+    made = [columns[f.name] if f.name in columns else pa.nulls(length, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
 
 
-def _enter(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    maker = Shingles(k)
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """A DOC row for each text, with a sketch at the first of equal sets in a block; at the end the task's counts."""
+    maker, often = Shingles(k), Frequent()
     for part in blobs.text_blocks(batches):
-        names, bounds = maker.sets(*blobs.text_bytes(part.column("text")))
-        name, size = set_names(names, bounds), np.diff(bounds)
-        known = np.asarray(part.column("doc_id").is_valid())
-        doc = part.column("doc_id").fill_null(0).to_numpy()
-        rows = list(blobs.deal(spread(name ^ doc, buckets), [doc, known, size, name], META))
-        _, once = np.unique(name, return_index=True)
-        sig, owner, sketch, drawn = signatures(names, bounds, once[size[once] > 0], num, den)
-        rows += blobs.deal(spread(sig, buckets), [sig, name[owner]], SIGNATURES)
-        rows += blobs.deal(spread(name[drawn], buckets), [name[drawn], sketch], SKETCHES)
-        yield blobs.batch(rows)
-
-
-SCANNED = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("sketch", pa.binary())])
-SCANNED_DDL = "kind int, a long, b long, c long, sketch binary"
-DOC, SKETCH, ENTRY = range(3)
-
-
-def _scanned(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, nulls: np.ndarray | None = None, sketch: list | None = None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64(), mask=nulls), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(sketch or [None] * len(a), pa.binary())], schema=SCANNED)
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as (DOC, id, size, set), sketches as (SKETCH, set, …), and lists of two sets or more as (ENTRY, list,
-    member, length), a list that repeats within the partition once."""
-    got = blobs.collected(batches)
-    if META in got:
-        doc, known, size, name = blobs.merge(got[META])
-        yield _scanned(DOC, doc, size, name, ~known)
-    if SKETCHES in got:
-        for owner, raw in got.pop(SKETCHES):
-            starts = np.flatnonzero(new_groups(owner))
-            data = raw.tobytes()
-            text = [data[i:j] for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(data)], strict=True)]
-            yield _scanned(SKETCH, owner[starts], starts, starts, None, text)
-    if SIGNATURES not in got:
-        return
-    sig, owner = blobs.merge(got.pop(SIGNATURES))
-    order = np.lexsort((owner, sig))
-    sig, owner = sig[order], owner[order]
-    fresh = new_groups(sig, owner)
-    sig, owner = sig[fresh], owner[fresh]
-    starts = np.flatnonzero(new_groups(sig))
-    size = np.diff(np.concatenate([starts, [len(sig)]]))
-    shared = np.repeat(size > 1, size)
-    sig, owner = sig[shared], owner[shared]
-    if not len(sig):
+        names, bounds = maker.sets(texts_of(part))
+        which = set_names(names, bounds)
+        first = dict(zip(reversed(which), range(len(which) - 1, -1, -1), strict=True))
+        sketch: list = parities(names, bounds)
+        for i, name in enumerate(which):
+            if first[name] != i:
+                sketch[i] = None
+        once = np.zeros(len(which), bool)
+        once[list(first.values())] = True
+        often.add(names[np.repeat(once, np.diff(bounds))])
+        yield _rows(SETS, len(which), kind=np.full(len(which), DOC, np.int32), doc_id=part.column("doc_id"), tag=part.column("tag"), n=np.diff(bounds), set=which, sketch=sketch)
+    names, counts = often.reported()
+    if often.seen:
+        yield _rows(SETS, len(names), kind=np.full(len(names), SHARED, np.int32), shingle=names.view(np.int64), count=counts)
+        yield _rows(SETS, 1, kind=[RECURRING], n=[often.again], count=[often.seen])
+
+
+class Order:
+    """The order of shingles: those not known as common by name, then the common ones, the rarest first."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray):
+        order = np.argsort(names)
+        self.names, self.counts = names[order], counts[order]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.names >> np.uint64(42)] = True
+
+    def common(self, names: np.ndarray) -> np.ndarray:
+        """Count of each name, 0 for those that aren't common."""
+        out = np.zeros(len(names), np.int64)
+        may = np.flatnonzero(self.maybe[names >> np.uint64(42)])
+        if len(may):
+            at = np.minimum(np.searchsorted(self.names, names[may]), len(self.names) - 1)
+            out[may] = np.where(self.names[at] == names[may], self.counts[at], 0)
+        return out
+
+    def first(self, names: np.ndarray, bounds: np.ndarray, which: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+        """(shingle, set, place, count) of the wanted sets' prefixes."""
+        size = bounds[which + 1] - bounds[which]
+        row = np.repeat(np.arange(len(which)), size)
+        x = names[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[which], size)]
+        count = self.common(x)
+        rare = count == 0
+        n_rare = np.bincount(row[rare], minlength=len(which))
+        place = np.zeros(len(x), np.int64)
+        place[rare] = np.arange(rare.sum()) - np.repeat(np.cumsum(n_rare) - n_rare, n_rare)
+        rest = np.flatnonzero(~rare)
+        if len(rest):
+            rest = rest[np.lexsort((x[rest], count[rest], row[rest]))]
+            n_rest = np.bincount(row[rest], minlength=len(which))
+            place[rest] = np.arange(len(rest)) - np.repeat(np.cumsum(n_rest) - n_rest, n_rest) + np.repeat(n_rare, n_rest)
+        keep = place < np.repeat(prefix(size, num, den), size)
+        return x[keep], which[row[keep]], place[keep], count[keep]
+
+
+ENTRIES_DDL = "list long, part int, set binary, n int, place int"
+ENTRIES = pa.schema([("list", pa.int64()), ("part", pa.int32()), ("set", pa.binary()), ("n", pa.int32()), ("place", pa.int32())])
+
+
+def _entries(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, limit: int, common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """What sets enter in lists, each set once in a block. Lists of shingles known as common go in parts, numbered from 1."""
+    maker, order = Shingles(k), Order(*common)
+    for part in blobs.text_blocks(batches):
+        names, bounds = maker.sets(texts_of(part))
+        which, size = set_names(names, bounds), np.diff(bounds)
+        once = np.asarray(sorted(dict(zip(reversed(which), range(len(which) - 1, -1, -1), strict=True)).values()), np.int64)
+        once = once[size[once] > 0]
+        light = once[size[once] <= limit]
+        made = [light_signatures(names[bounds[d] : bounds[d + 1]], num, den) for d in light.tolist()]
+        x, owner, place, count = order.first(names, bounds, once[size[once] >= -(-num * (limit + 1) // den)], num, den)
+        lists = np.concatenate([*made, x])
+        owner = np.concatenate([*(np.full(len(m), d, np.int64) for m, d in zip(made, light.tolist(), strict=True)), owner])
+        none = np.zeros(len(lists) - len(x), np.int64)
+        parts = np.concatenate([none, np.where(count > 0, 1 + mix(owner.astype(np.uint64)[len(none) :]) % (1 + count // LONG).astype(np.uint64), 0).astype(np.int64)])
+        for at in range(0, len(lists), 100_000):
+            s = slice(at, at + 100_000)
+            yield _rows(ENTRIES, len(lists[s]), list=lists[s].view(np.int64), part=parts[s], set=pa.array(which, pa.binary()).take(pa.array(owner[s])), n=size[owner[s]], place=np.concatenate([none, place])[s])
+
+
+def may_link(n, place, n2, place2, num: int, den: int):
+    """Two sets that share a shingle at these places, and none before, share no more than what is left from there."""
+    return (num + den) * np.minimum(n - place, n2 - place2) >= num * (n + n2)
+
+
+MEMBERS_DDL = "list long, set binary, n int, place int, long boolean, leader binary"
+MEMBERS = pa.schema([("list", pa.int64()), ("set", pa.binary()), ("n", pa.int32()), ("place", pa.int32()), ("long", pa.bool_()), ("leader", pa.binary())])
+
+
+def name_words(column: pa.Array) -> np.ndarray:
+    """A column of 128-bit names as rows of two numbers."""
+    return np.frombuffer(column.buffers()[2], np.uint64)[2 * column.offset :][: 2 * len(column)].reshape(-1, 2)
+
+
+def with_leaders(t: pa.RecordBatch, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Whole lists, as members with their leaders; members that come again and lists of one drop out."""
+    lists, n, place = (t.column(c).to_numpy().astype(np.int64) for c in ("list", "n", "place"))
+    names, hot = name_words(t.column("set")), t.column("part").to_numpy() > 0
+    order = np.lexsort((names[:, 1], names[:, 0], place / n, lists))
+    order = order[new_groups(lists[order], names[order, 0], names[order, 1])]
+    starts = np.flatnonzero(new_groups(lists[order]))
+    size = np.diff(np.append(starts, len(order)))
+    keep = np.repeat((size > 1) | hot[order[starts]], size)
+    order, size = order[keep], size[(size > 1) | hot[order[starts]]]
+    if not len(order):
         return
-    starts = np.flatnonzero(new_groups(sig))
-    size = np.diff(np.concatenate([starts, [len(sig)]]))
-    content = np.add.reduceat(mix(owner.view(np.uint64)), starts) + size.astype(np.uint64)
-    _, once = np.unique(content, return_index=True)  # equal member sets are one list
-    keep = np.zeros(len(starts), bool)
-    keep[once] = True
-    member, lists = owner[np.repeat(keep, size)], np.repeat(content[keep], size[keep]).view(np.int64)
-    yield _scanned(ENTRY, lists, member, np.repeat(size[keep], size[keep]))
+    lists, n, place, hot = lists[order], n[order], place[order], hot[order]
+    hot |= np.repeat(size > LONG, size)
+    leader = np.full(len(order), -1, np.int64)
+    starts = np.cumsum(size) - size
+    two = starts[(size == 2) & ~hot[starts]]
+    ok = may_link(n[two], place[two], n[two + 1], place[two + 1], num, den)
+    leader[two[ok] + 1] = two[ok]
+    for a, m in zip(starts.tolist(), size.tolist(), strict=True):
+        if m > 2 and not hot[a]:
+            leads = [a]
+            for i in range(a + 1, a + m):
+                fit = np.flatnonzero(may_link(n[leads], place[leads], n[i], place[i], num, den))
+                if len(fit):
+                    leader[i] = leads[fit[0]]
+                else:
+                    leads.append(i)
+    every = t.column("set")
+    by = every.take(pa.array(order[leader], mask=leader < 0))
+    yield _rows(MEMBERS, len(order), list=lists, set=every.take(pa.array(order)), n=n, place=place, long=hot, leader=by)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Lists come sorted by (list, part); a list beyond LONG members goes on as it comes, as a long one."""
+    held: list[pa.RecordBatch] = []
+    rows, running = 0, None
+
+    def plain(t: pa.RecordBatch) -> pa.RecordBatch:
+        return _rows(MEMBERS, len(t), list=t.column("list"), set=t.column("set"), n=t.column("n"), place=t.column("place"), long=np.ones(len(t), bool))
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, rows, running
+        t = pa.concat_batches(held) if len(held) > 1 else held[0]
+        lists = t.column("list").to_numpy()
+        if running is not None:  # the rest of a list that has begun to go out
+            n = int(np.searchsorted(lists != running, True))
+            if n:
+                yield plain(t.slice(0, n))
+                t, lists = t.slice(n), lists[n:]
+        if not len(lists):
+            held, rows = [], 0
+            return
+        running = None
+        end = len(lists) if last else int(np.flatnonzero(lists != lists[-1])[-1]) + 1 if (lists != lists[-1]).any() else 0
+        if end:
+            yield from with_leaders(t.slice(0, end), num, den)
+        t = t.slice(end)
+        if len(t) > 8 * LONG:
+            running = int(lists[-1])
+            yield plain(t)
+            t = t.slice(len(t))
+        held, rows = ([t], len(t)) if len(t) else ([], 0)
 
-
-PAIRS_DDL = "a long, b long"
-LEADERS, NEAREST, ACROSS = "leaders", "nearest", "across"
-
-
-def _pairs_of(rows: list[tuple], how: str, num: int, den: int) -> Iterator[tuple[int, int]]:
-    members = sorted({r[0]: r for r in rows}.values())
-    sets, sizes, comps, sketches = ([r[i] for r in members] for i in range(4))
-    if how != LEADERS and len(set(comps)) == 1:
-        return
-    index = Members(sizes, sketches, num, den)
-    comp, leads = np.asarray(comps), np.zeros(len(members), bool)
-    for i in range(len(members)):
-        among = np.flatnonzero(leads[:i]) if how == LEADERS else np.flatnonzero((comp if how == NEAREST else comp[:i]) != comp[i])
-        close = index.may_link(i, among)
-        if how == LEADERS:
-            leads[i] = not len(close)
-        for j in close[:1].tolist() if how != ACROSS else close.tolist():
-            yield min(sets[i], sets[j]), max(sets[i], sets[j])
-
-
-def _list_pairs(batches: Iterator[pa.RecordBatch], how: str, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) to verify from lists that come sorted by list: with LEADERS each member and the closest earlier leader
-    that it may be linked to, or else it leads; with NEAREST each and the closest of another component; with ACROSS all that may be linked and aren't in one component."""
-    known: set[tuple[int, int]] = set()  # pairs repeat from list to list; bounded, the rest is left to distinct()
-    out: list[tuple[int, int]] = []
-
-    def lists() -> Iterator[list[tuple]]:
-        at, rows = None, []
-        for batch in batches:
-            for list_, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if list_ != at:
-                    yield rows
-                    at, rows = list_, []
-                rows.append((row[0], row[1], row[2], row[3] or b""))
-        yield rows
-
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    for rows in lists():
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 40_000:
+                yield from flush(False)
+    if rows:
+        yield from flush(True)
+
+
+def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of members of different components that may be linked, from groups (list, x, y) that come sorted: blocks x
+    and y of a list, against each other or within."""
+    known: set[tuple[bytes, bytes]] = set()  # pairs repeat from list to list; bounded, the rest is left to distinct()
+    at, rows, out = None, [], []
+
+    def pairs() -> Iterator[tuple[bytes, bytes]]:
         if len(rows) < 2:
-            continue
-        for pair in _pairs_of(rows, how, num, den):
+            return
+        names, block, n, place, comps = zip(*rows, strict=True)
+        ids = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+        block, n, place, comp = np.asarray(block), np.asarray(n, np.int64), np.asarray(place, np.int64), np.asarray([ids[c] for c in comps])
+        for i in range(1, len(rows)):
+            fit = (comp[:i] != comp[i]) & may_link(n[:i], place[:i], n[i], place[i], num, den)
+            if at[1] != at[2]:
+                fit &= block[:i] != block[i]
+            for j in np.flatnonzero(fit).tolist():
+                if names[i] != names[j]:
+                    yield min(names[i], names[j]), max(names[i], names[j])
+
+    def made() -> Iterator[pa.RecordBatch]:
+        for pair in pairs():
             if pair not in known:
                 known.add(pair)
                 out.append(pair)
-        if len(out) >= 20_000:
-            yield made()
-            out = []
-        if len(known) > 200_000:
-            known.clear()
+                if len(known) > 200_000:
+                    known.clear()
+                if len(out) >= 20_000:
+                    yield taken()
+
+    def taken() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for list_, x, y, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            if at != (list_, x, y):
+                yield from made()
+                at, rows = (list_, x, y), []
+            rows.append(row)
+    yield from made()
     if out:
-        yield made()
+        yield taken()
 
 
-def list_pairs(members: DataFrame, how: str, num: int, den: int, partitions: int) -> DataFrame:
-    """members(list, set, n, comp, sketch) -> distinct pairs(a, b); one list is held at a time."""
-    ordered = members.select("list", "set", "n", "comp", "sketch").repartition(partitions, "list").sortWithinPartitions("list")
-    return ordered.mapInArrow(lambda b: _list_pairs(b, how, num, den), PAIRS_DDL).distinct()
+PAIRS_DDL = "a binary, b binary"
 
 
-def _packed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, set, text compressed)."""
-    maker, squeeze = Shingles(k), zstandard.ZstdCompressor(level=1)
-    for part in blobs.text_blocks(batches):
-        raw, ends = blobs.text_bytes(part.column("text"))
-        name = set_names(*maker.sets(raw, ends))
-        text = [squeeze.compress(raw[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(name), pa.array(text, pa.binary())], ["doc_id", "set", "text"])
+def leader_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (a, b): members with their leaders. A long list's leader is its member that holds the shingle earliest."""
+    long = members.where("long")
+    top = long.groupBy("list").agg(F.min(F.struct((F.col("place") / F.col("n")).alias("r"), "set", "n", "place")).alias("l"))
+    met = long.join(top, "list").where(F.col("set") != F.col("l.set")).where(may_link_sql("n", "place", "l.n", "l.place", num, den))
+    own = members.where("leader is not null").select(F.col("leader").alias("a"), F.col("set").alias("b"))
+    return own.unionByName(met.select(F.col("l.set").alias("a"), F.col("set").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def may_link_sql(n: str, place: str, n2: str, place2: str, num: int, den: int) -> Column:
+    n, place, n2, place2 = (F.col(c).cast("long") for c in (n, place, n2, place2))
+    return (num + den) * F.least(n - place, n2 - place2) >= num * (n + n2)
+
+
+def across_pairs(members: DataFrame, labels: DataFrame, num: int, den: int, partitions: int) -> DataFrame:
+    """Distinct (a, b) of different components, from the lists that have members of several."""
+    placed = members.select("list", "set", "n", "place").join(labels.select(F.col("node").alias("set"), "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    mixed = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = placed.join(mixed.select("list", blocks.alias("blocks")), "list").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks").cast("long")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = other.select("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "set", "block", "n", "place", "comp")
+    dealt = dealt.repartition(partitions, "list", "x", "y").sortWithinPartitions("list", "x", "y")
+    return dealt.mapInArrow(lambda b: _across(b, num, den), PAIRS_DDL).distinct()
+
+
+def _close(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow a link."""
+    for b in batches:
+        a, c, n, m, x, y = (b.column(i).to_pylist() for i in ("a", "b", "an", "bn", "x", "y"))
+        ok = [(den + num) * least_difference(p, q) <= (den - num) * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(itertools.compress(z, ok)), pa.binary()) for z in (a, c)], ["a", "b"])
+
+
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return den * both >= num * (len(a) + len(b) - both)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    maker, open_ = Shingles(k), zstandard.ZstdDecompressor()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            b = batch.slice(at, 512)
-            columns = [b.column(c).to_pylist() for c in ("a", "b", "x", "y")]
-            texts = dict(zip(columns[0] + columns[1], columns[2] + columns[3], strict=True))
-            sets = dict(zip(texts, maker.of_texts([open_.decompress(t) for t in texts.values()]), strict=True))
-            ok = [linked(sets[x], sets[y], num, den) for x, y in zip(columns[0], columns[1], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-
-SALT = 1024
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """pairs(a, b) of set names, with `ok`. Texts, compressed, come from one document of each set; a set in many pairs is
-    copied to as many salts as its pairs fill, so that no task gets them all."""
-    wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).groupBy("set").agg(F.count("*").alias("uses"))
-    wanted = written(wanted.join(sets.select("set", F.col("rep").alias("doc_id")), "set"), "wanted")
-    packed = docs.mapInArrow(lambda b: _packed(b, k), "doc_id long, set long, text binary")
-    # an id may come with several texts, and rows may repeat: one row of each wanted set stays
-    one = Window.partitionBy("doc_id", "set").orderBy(F.lit(1))
-    held = packed.join(wanted, ["doc_id", "set"]).withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    held = written(held.select("set", "uses", "text"), "texts")
-    salts = lambda uses: F.floor(uses / SALT).cast("int")
-    copies = held.select("set", "text", F.explode(F.sequence(F.lit(0), salts(F.col("uses")))).alias("salt"))
-    uses = held.select("set", (salts(F.col("uses")) + 1).alias("n")).where("n > 1")
-    p = pairs.join(uses.select(F.col("set").alias("a"), F.col("n").alias("an")), "a", "left").join(uses.select(F.col("set").alias("b"), F.col("n").alias("bn")), "b", "left")
-    spot = lambda other, n: F.pmod(F.xxhash64(other), F.coalesce(F.col(n), F.lit(1)).cast("long")).cast("int")
-    p = p.select("a", "b", spot("b", "an").alias("sa"), spot("a", "bn").alias("sb"))
-    p = p.join(copies.select(F.col("set").alias("a"), F.col("salt").alias("sa"), F.col("text").alias("x")), ["a", "sa"])
-    p = p.join(copies.select(F.col("set").alias("b"), F.col("salt").alias("sb"), F.col("text").alias("y")), ["b", "sb"])
-    return p.select("a", "b", "x", "y").mapInArrow(lambda b: _verify(b, k, num, den), "a long, b long, ok boolean")
+    """Rows come sorted by (a, salt), first a's own text, b being null, then texts of sets that it may be linked with."""
+    maker, own = Shingles(k), None
+    for part in blobs.text_blocks(batches):
+        a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+        found = []
+        for x, y, names in zip(a, b, maker.of_texts(texts_of(part)), strict=True):
+            if y is None:
+                own = names
+            elif linked(own, names, num, den):
+                found.append((x, y))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["a", "b"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int, partitions: int) -> DataFrame:
+    """Those of pairs(a, b) of set names that are linked. Sketches come first; texts are then read for what is left, one for
+    each set. A set in many pairs is `a` in them, its text goes once to each of as many salts as its pairs fill."""
+    sketch = sets.select("set", "n", "sketch")
+    both = pairs.join(sketch.toDF("a", "an", "x"), "a").join(sketch.toDF("b", "bn", "y"), "b")
+    close = written(both.mapInArrow(lambda b: _close(b, num, den), PAIRS_DDL), "close")
+    uses = close.select(F.col("a").alias("set")).unionByName(close.select(F.col("b").alias("set"))).groupBy("set").agg(F.count("*").alias("uses"))
+    wanted = written(uses.join(sets.select("set", "rep"), "set").select("set", "uses", "rep.doc_id", "rep.tag"), "wanted")
+    # an id may come with several texts, and rows may repeat: the tag tells texts apart, and one row of each set stays
+    texts = docs.join(held_small(wanted), ["doc_id", "tag"]).select("set", "uses", "text")
+    texts = written(texts.groupBy("set").agg(F.first("uses").alias("uses"), F.first("text").alias("text")), "texts")
+    drop_written(wanted)
+    salts = (F.floor(F.col("uses") / SALT) + 1).cast("int")
+    p = close.join(wanted_uses(texts, "a"), "a").join(wanted_uses(texts, "b"), "b")
+    p = p.select(F.when(F.col("ua") < F.col("ub"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("ua") < F.col("ub"), F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("ua", "ub").alias("uses"))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("b"), salts.cast("long")).cast("int"))
+    heads = texts.join(p.select(F.col("a").alias("set")).distinct(), "set", "left_semi").select(F.col("set").alias("a"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "text")
+    rest = p.join(texts.select(F.col("set").alias("b"), "text"), "b").select("a", "salt", "b", "text")
+    met = heads.unionByName(rest).repartition(partitions, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    links = written(met.mapInArrow(lambda b: _verify(b, k, num, den), PAIRS_DDL), "links")
+    drop_written(close)
+    drop_written(texts)
+    return links
+
+
+def wanted_uses(texts: DataFrame, side: str) -> DataFrame:
+    return texts.select(F.col("set").alias(side), F.col("uses").alias(f"u{side}"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node reachable from each node of edges(a, b), by least neighbours and pointer jumping."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, "edges")
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).select(F.col("a").alias("node"), "comp")
-    labels = written(labels, "labels")
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("low", "a").alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
@@ -475,41 +497,72 @@ def components(edges: DataFrame) -> DataFrame:
         drop_written(labels)
         labels = new
         if not new.where("moved").limit(1).count():
+            drop_written(both)
             return labels.select("node", "comp")
 
 
+def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tag, text): tag is a hash that tells apart texts that come under one id."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
+
+
+def jaccard_classes(d: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """d as of `tagged` -> (doc_id, tag, n, set, component, component_id), a row for each of d's. component is a name of
+    its own for each group of linked sets, null for empty sets and null ids; component_id is the least id in it."""
+    partitions = fanout(d)
+    first = written(d.mapInArrow(lambda b: _sets(b, shingle), SETS_DDL), "sets")
+    rows = first.where(F.col("kind") == DOC).select("doc_id", "tag", "n", "set", "sketch")
+    sets = rows.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
+    sets = written(sets, "classes")
+    counted = first.where(F.col("kind") == SHARED).groupBy("shingle").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_COUNT)
+    # COMMON rows at most; leaving others out only makes lists longer
+    top = counted.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    common = (top.column("shingle").to_numpy().view(np.uint64), top.column("count").to_numpy())
+    again, seen = first.where(F.col("kind") == RECURRING).agg(F.sum("n"), F.sum("count")).first()
+    sizes = {r["n"]: r["count"] for r in sets.where(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}
+    limit = choose_limit(sizes, (again or 0) / (seen or 1), num, den)
+    live = d.where("doc_id is not null")
+    entered = live.mapInArrow(lambda b: _entries(b, shingle, num, den, limit, common), ENTRIES_DDL)
+    dealt = entered.repartition(partitions, "list", "part").sortWithinPartitions("list", "part")
+    members = written(dealt.mapInArrow(lambda b: _scan(b, num, den), MEMBERS_DDL), "members")
+    near = written(leader_pairs(members, num, den), "leaders")
+    links = verified(near, live, sets, shingle, num, den, partitions)
+    labels = components(links)
+    more = written(across_pairs(members, labels, num, den, partitions).join(near, ["a", "b"], "left_anti"), "across")
+    links2 = verified(more, live, sets, shingle, num, den, partitions)
+    for used in (members, near, more):
+        drop_written(used)
+    if links2.limit(1).count():
+        labels = components(links.unionByName(links2))
+    least = sets.select("set", "rep").join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "rep", F.coalesce("comp", "set").alias("component"))
+    by = least.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"))
+    named = least.join(by, "component").select("set", "component", "component_id")
+    out = rows.drop("sketch").join(named, "set", "left")
+    mine = lambda c, empty: F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, empty).otherwise(F.col(c)).alias(c)
+    return out.select("doc_id", "tag", "n", "set", mine("component", None), mine("component_id", F.col("doc_id")))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the least id reachable by links."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    partitions, buckets = blobs.counts(docs)
-    entered = d.mapInArrow(lambda b: _enter(b, shingle, num, den, buckets), blobs.DDL)
-    scanned = written(blobs.exchange(entered, partitions).mapInArrow(_scan, SCANNED_DDL), "scanned")
-    rows = scanned.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("set"))
-    sets = rows.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    sketches = scanned.where(F.col("kind") == SKETCH).groupBy(F.col("a").alias("set")).agg(F.min("sketch").alias("sketch"))
-    entries = scanned.where(F.col("kind") == ENTRY).select(F.col("a").alias("list"), F.col("b").alias("set"))
-    # sets that only rows without an id have drop out here
-    members = entries.join(sets.select("set", "n"), "set").join(sketches, "set", "left").withColumn("comp", F.col("set"))
-    members = written(members, "members")
-    live = d.where("doc_id is not null")
-    pairs = written(list_pairs(members, LEADERS, num, den, partitions), "leaders")
-    tried = written(verified(pairs, live, sets, shingle, num, den), LEADERS)
-    labels = components(tried.where("ok"))
-    for how in (NEAREST, ACROSS):
-        placed = members.drop("comp").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-        mixed = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("list")
-        more = list_pairs(placed.join(mixed, "list", "left_semi"), how, num, den, partitions).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        more = written(more, how)
-        if not more.limit(1).count():
-            continue
-        tried = written(tried.unionByName(verified(more, live, sets, shingle, num, den)), how)
-        labels = components(tried.where("ok"))
-    least = sets.join(labels, sets["set"] == labels["node"], "left").select("set", "rep", F.coalesce("comp", "set").alias("comp"))
-    by_comp = least.groupBy("comp").agg(F.min("rep").alias("component"))
-    named = least.join(by_comp, "comp").select("set", "component")
-    out = rows.join(named, "set", "left")
-    own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
+    return jaccard_classes(tagged(docs, id_col, text_col), shingle, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) but for near copies: of each group of linked texts the row of least id stays,
+    of rows with one id the one of least hash, of equal rows one. Rows without words, or with null id, stay."""
+    d = tagged(docs)
+    rows = jaccard_classes(d, shingle, num, den).where("component is not null")
+    one = rows.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("head"))
+    seen = rows.groupBy("component", "doc_id", "tag").agg(F.count("*").alias("times")).join(one, "component")
+    stays = F.struct("doc_id", "tag") == F.col("head")
+    odd = written(seen.select("doc_id", "tag", stays.alias("stays"), "times").where("not stays or times > 1"), "odd")
+    id_, tag, n = (fresh_name(docs.columns, c) for c in ("odd_id", "odd_tag", "nth"))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    marks = lambda x: held_small(x.select(F.col("doc_id").alias(id_), F.col("tag").alias(tag)))
+    same = (F.col("doc_id").cast("long") == F.col(id_)) & (own == F.col(tag))
+    single = docs.join(marks(odd), same, "left_anti")
+    again = docs.join(marks(odd.where("stays")), same, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), own).orderBy(F.lit(1))))
+    return single.unionByName(again.where(F.col(n) == 1).select(*docs.columns))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

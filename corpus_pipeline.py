@@ -6,12 +6,12 @@ with null id pass every stage that keys on ids; nulls in other columns are allow
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklore.llm.common import table, written
 from worklore.llm.decontaminate import drop_leaky
-from worklore.llm.jaccard_join import jaccard_components
+from worklore.llm.jaccard_join import one_of_each
 from worklore.llm.language_id import UNKNOWN, identify, learn
 from worklore.llm.packing import pack
 from worklore.llm.secrets import redact_secrets
@@ -27,11 +27,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the one of least id stays."""
-    heads = jaccard_components(docs, shingle=5, num=80, den=100).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(heads, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the one of least id stays.
+
+    Texts that are alike but have one id count as such, of them the one of least hash stays, and of equal rows one;
+    unlike texts under one id all stay, and so do rows with null id and texts without words. Columns pass through
+    whatever their names; an empty table stays empty."""
+    return one_of_each(docs, shingle=5, num=80, den=100)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worklore.functions.expressions import let
 from worklore.functions.predicates import is_dead_end
 from worklore.operators.store import MARKED, PLAIN, live
 
@@ -192,7 +193,8 @@ def _satisfies(tree: tuple, fields: dict[str, Column]) -> Column:
         out = F.lit(False)
         for name, c in fields.items():
             if all(leaf[2] in (None, name) or leaf[2] not in fields for leaf in tree[2:]):
-                out = out | _close(tree[1], tree[2:], c)
+                # bound, since a filter is pushed below the words' own projection and would split the text at each word
+                out = out | let(c, lambda w: _close(tree[1], tree[2:], w))
         return out
     left, right = _satisfies(tree[1], fields), _satisfies(tree[2], fields)
     return left & right if tree[0] == "and" else left | right if tree[0] == "or" else left & ~right
@@ -201,9 +203,8 @@ def _satisfies(tree: tuple, fields: dict[str, Column]) -> Column:
 def _close(distance: int, phrases: tuple, c: Column) -> Column:
     """Whether a field's words hold all phrases with at most `distance` words from the end of the first to the start of the
     last of them."""
-    places = [_starts(leaf, c) for leaf in phrases]
 
-    def clump(reach: int):
+    def clump(places: list[Column], reach: int):
         def holds(a: Column) -> Column:
             out = F.lit(True)
             for other in places:
@@ -212,10 +213,15 @@ def _close(distance: int, phrases: tuple, c: Column) -> Column:
 
         return holds
 
-    out = F.lit(False)
-    for leaf, mine in zip(phrases, places, strict=True):
-        out = out | F.exists(mine, clump(len(leaf[1]) + distance))
-    return out
+    def bound(places: list[Column]) -> Column:
+        if len(places) < len(phrases):  # each phrase's places are worked out once
+            return let(_starts(phrases[len(places)], c), lambda p: bound([*places, p]))
+        out = F.lit(False)
+        for leaf, mine in zip(phrases, places, strict=True):
+            out = out | F.exists(mine, clump(places, len(leaf[1]) + distance))
+        return out
+
+    return bound([])
 
 
 def _starts(leaf: tuple, c: Column) -> Column:
@@ -235,8 +241,7 @@ def _frequency(leaf: tuple, fields: dict[str, Column]) -> Column:
         if n == 1:
             out = out + F.size(F.filter(c, lambda x: same(x, 0, True)))
         elif n:
-            hits = lambda c=c: F.filter(F.transform(c, lambda x, i: _run(c, i, words, prefix)), lambda ok: ok)
-            out = out + F.size(hits())
+            out = out + let(c, lambda w: F.size(F.filter(F.transform(w, lambda x, i: _run(w, i, words, prefix)), lambda ok: ok)))
     return out
 
 

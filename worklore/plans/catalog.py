@@ -341,7 +341,7 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase, or two words close together: postings name the records that hold the words, whose texts are then read."""
     postings, totals = documents_index(spark, sf_dir)
     docs = documents_for_search(spark, sf_dir)
-    return retrieve.bm25_indexed(docs, postings, totals, f"{PHRASE} OR {NEARBY}", 1 << 30, ("summary",)).select("id")
+    return retrieve.bm25_indexed(docs, postings, totals, f"{PHRASE} OR {NEARBY}", totals[0], ("summary",)).select("id")
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\\-]{{4,}}'), lambda x: lower(x)) AS w FROM conversations WHERE role = 'user'),

@@ -139,8 +139,11 @@ def redact_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", rx.redact(F.col("text")).alias("clean"))
-    return d.select("doc_id", F.sha2("clean", 256).alias("digest"), F.regexp_count("clean", F.lit(r"\[REDACTED:[a-z_ ]+\]")).alias("hits"))
+    """All rules over whole documents and pages."""
+    texts = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
+    texts = texts.unionByName(table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    d = texts.select("source", "id", rx.redact(F.col("text")).alias("clean"))
+    return d.select("source", "id", F.sha2("clean", 256).alias("digest"), F.regexp_count("clean", F.lit(r"\[REDACTED:[a-z_ ]+\]")).alias("hits"))
 
 
 STRIP_SQL = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"

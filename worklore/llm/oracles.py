@@ -23,7 +23,9 @@ def _rule(host: str, path: str, what: int) -> str:
 
 URLS = rf"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {UPPER}, {LOWER}) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 h0 AS (SELECT host, 0 AS n, 0 AS bad FROM p UNION ALL SELECT host, 1, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END FROM p JOIN labels ON page_id = doc_id),
-h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, sum(n) AS n, sum(bad) AS bad FROM h0 GROUP BY host),
+h1 AS (SELECT *, regexp_replace(string_split(host, '@')[-1], ':[0-9]*$', '') AS bare FROM h0), h2 AS (SELECT *, array_to_string(string_split(bare, '.')[-2:], '.') AS two, regexp_matches(bare, '{u.ADDRESS}') AS address FROM h1),
+h AS (SELECT host, CASE WHEN address THEN bare WHEN two IN {u.SUFFIXES} THEN array_to_string(string_split(bare, '.')[-3:], '.') ELSE two END AS domain,
+ CASE WHEN address THEN '[address]' WHEN two IN {u.SUFFIXES} THEN two ELSE string_split(bare, '.')[-1] END AS suffix, sum(n) AS n, sum(bad) AS bad FROM h2 GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
 k AS (SELECT {_strength('s')} AS ks, {_strength('d')} AS kd, {_strength('h')} AS kh, (SELECT (sum(bad) + 1) / (sum(n) + 2)::DOUBLE FROM h) AS m0),
 sm AS (SELECT suffix, (m0 * ks + bad) / (ks + n) AS m FROM s, k), dm AS (SELECT d.domain, (m * kd + bad) / (kd + n) AS m FROM d JOIN sm USING (suffix), k),
@@ -47,4 +49,25 @@ r AS (SELECT b.doc_id, n_words, coalesce(wc, 0) AS word_chars, n_symbols, coales
 f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM r)
 SELECT *, NOT base_failed AND NOT (removed_words > 0 AND n_words - removed_words < greatest({q.MIN_WORDS}, n_words * {q.MIN_KEPT})) AS kept FROM f"""
 
-ORACLE_SQL = {"op5_url_filter": URLS, "op9_quality_rules": QUALITY}
+MARKS_RE = r"[<\[]/?(?:s>|INST|OUT|SYS|ROLE)"
+SAID = "</s>[INST] ok [/INST]"
+
+#: An escaped text is longer by one for each backslash and each mark; a rendered one has 14 characters and its name twice besides.
+CHAT_FORMAT = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{SAID}' UNION ALL SELECT -1, 1, 'assistant', '{SAID}'),
+m AS (
+  SELECT *, 2 * length(text) - length(replace(text, chr(92), '')) + len(regexp_extract_all(text, '{MARKS_RE}')) AS body,
+    CASE role WHEN 'user' THEN 4 WHEN 'assistant' THEN 3 WHEN 'system' THEN 3
+      ELSE 5 + 2 * length(role) - length(replace(role, chr(92), '')) + len(regexp_extract_all(role, '{MARKS_RE}')) + len(regexp_extract_all(role, '[\[\]]')) END AS name
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(14 + 2 * name + body)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+ORACLE_SQL = {"op5_url_filter": URLS, "op9_quality_rules": QUALITY, "op10_chat_format": CHAT_FORMAT}

@@ -39,8 +39,25 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return which, verdict
 
 
+#: Well-known public suffixes of two labels. Other suffixes are the last label.
+SUFFIXES = (
+    "ac.at", "ac.il", "ac.jp", "ac.kr", "ac.nz", "ac.uk", "ac.za", "asn.au", "co.at", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn",
+    "edu.au", "edu.cn", "edu.hk", "edu.tr", "edu.tw", "go.jp", "go.kr", "go.th", "gob.ar", "gob.mx", "gov.au", "gov.br", "gov.cn", "gov.il", "gov.in", "gov.tr", "gov.uk", "gov.za",
+    "ne.jp", "net.au", "net.br", "net.cn", "net.in", "net.nz", "net.uk", "nhs.uk", "or.at", "or.jp", "or.kr", "org.ar", "org.au", "org.br", "org.cn", "org.il", "org.in", "org.mx", "org.nz", "org.tr", "org.tw", "org.uk", "org.za", "sch.uk",
+)
+ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^\["
+
+
 def _levels(df: DataFrame) -> DataFrame:
-    return df.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    """Registered domain and suffix of each host, its port and user left out. An address is a domain of its own; all
+    addresses have one suffix."""
+    bare = F.regexp_replace(F.substring_index("host", "@", -1), r":[0-9]*$", "")
+    two = F.substring_index("bare", ".", -2)
+    known = two.isin(*SUFFIXES)
+    suffix = F.when(F.col("bare").rlike(ADDRESS), F.lit("[address]")).when(known, two).otherwise(F.substring_index("bare", ".", -1))
+    domain = F.when(F.col("bare").rlike(ADDRESS), F.col("bare")).when(known, F.substring_index("bare", ".", -3)).otherwise(two)
+    return df.withColumn("bare", bare).withColumn("domain", domain).withColumn("suffix", suffix).drop("bare")
 
 
 def _strength(groups: DataFrame) -> float:

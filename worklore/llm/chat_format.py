@@ -1,6 +1,6 @@
 """Chat formatting by event-sourced reconstruction.
 
-A log holds events (conv_id, seq, kind, msg_id, role, text): `message` opens a message, `delta` appends to it, `edit`
+A log holds events (conv_id, seq, kind, msg_id, role, text), and may number those of one seq by a column `step`: `message` opens a message, `delta` appends to it, `edit`
 replaces its text, `regenerate` empties it for the deltas that follow. Events are folded by message, in order of seq;
 messages are rendered one by one and stay rows, so that no task holds a conversation's whole text. Consumers read them
 in order within hash partitions of conv_id, as a stream.
@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklore.llm.common import fanout, table
@@ -30,17 +30,29 @@ MARKS = r"([<\[])(?=/?(?:s>|INST|OUT|SYS|ROLE))"
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Turns as a log: each row is a message of its own."""
+    """Turns as a log, of which the fold makes the same turns again: an assistant's message comes as a draft, is generated
+    anew, and streams in two deltas; others come as a draft and are then edited. A row's message id is its place, role and
+    text's hash, numbered among equal rows."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("msg_id"), role.alias("role"), text.alias("text"))
+    rows = conversations.select("conv_id", F.col("turn").alias("seq"), role.alias("role"), text.alias("text"), F.xxhash64(text).alias("h"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "seq", "role", "h").orderBy(F.lit(1)))
+    msg_id = F.concat_ws(":", F.coalesce(F.col("seq").cast("string"), F.lit("")), "role", "h", nth)
+    cut = F.floor(F.length("text") / 2).cast("int")
+    event = lambda kind, text, step: F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(step).alias("step"))
+    head, tail, none = F.substr("text", F.lit(1), F.col("cut")), F.substr("text", F.col("cut") + 1), F.lit("")
+    streamed = F.array(event("message", head, 0), event("regenerate", none, 1), event("delta", head, 2), event("delta", tail, 3))
+    edited = F.array(event("message", head, 0), event("edit", F.col("text"), 1))
+    told = rows.withColumn("msg_id", msg_id).withColumn("cut", cut).withColumn("e", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)))
+    return told.select("conv_id", "seq", F.col("e.step").alias("step"), F.col("e.kind").alias("kind"), "msg_id", "role", F.col("e.text").alias("text"))
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, seq, role, text). Events without msg_id are messages as they stand; others are folded
-    by (conv_id, msg_id), a group no larger than one message's own history."""
-    e = events.select("conv_id", "seq", "kind", "msg_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    by (conv_id, msg_id), a group no larger than one message's own history, in order of seq and, if there is one, step."""
+    step = F.col("step") if "step" in events.columns else F.lit(0)
+    e = events.select("conv_id", "seq", step.alias("step"), "kind", "msg_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     alone = e.where("msg_id is null").select("conv_id", "seq", "role", "text")
-    log = e.where("msg_id is not null").groupBy("conv_id", "msg_id").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log"))
+    log = e.where("msg_id is not null").groupBy("conv_id", "msg_id").agg(F.sort_array(F.collect_list(F.struct("seq", "step", "kind", "role", "text"))).alias("log"))
     fold = lambda acc, x: F.when(x["kind"] == "delta", F.concat(acc, x["text"])).when(x["kind"] == "regenerate", F.lit("")).otherwise(x["text"])
     role = F.coalesce(F.get(F.filter("log", lambda x: x["role"] != ""), F.lit(0))["role"], F.lit(""))
     folded = log.select("conv_id", F.get("log", F.lit(0))["seq"].alias("seq"), role.alias("role"), F.aggregate("log", F.lit(""), fold).alias("text"))

@@ -5,16 +5,18 @@ scanned, what was found; a scan reads only blobs that the ledger lacks at this r
 findings are joined back to every path that holds the blob.
 
 Edge cases: null text is the empty blob; null ids and repeated rows are kept, one output row for each input row; an
-empty table gives an empty result; a hot blob is combined before the exchange, and the join back to paths is by a
+empty table gives an empty result; other columns may have any name; a hot blob is combined before the exchange, and the join back to paths is by a
 key that adaptive execution may split.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklore.llm.common import joined, matches, table, written
+from worklore.llm.common import fresh_name, joined, matches, shared_dir, table
 
 RULE_VERSION = "1"
 BASE_KINDS = ("assign", "access", "hex")
@@ -74,32 +76,47 @@ def update_ledger(versions: DataFrame, ledger_path: str, rule_version: str = RUL
     return spark.read.parquet(ledger_path)
 
 
-def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """(path, blob, findings) for every row of versions(path, text), from the ledger and from a scan of the rest. The
-    scan is a table before it is joined, so that a hot blob's paths can be split over tasks."""
-    new = written(scan_blobs(versions, ledger, rule_version), "ledger")
-    known = new if ledger is None else ledger.where(F.col("rule_version") == rule_version).unionByName(new)
-    hits = known.where(F.size("findings") > 0).select("blob", "findings")
+def new_ledger(spark: SparkSession) -> str:
+    """A path for a ledger of this run's own, in the folder that all share."""
+    return f"{shared_dir(spark)}/worklore/ledger-{uuid.uuid4().hex[:12]}"
+
+
+def joined_back(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+    """(path, blob, findings) for every row of versions(path, text) whose blobs the ledger has. The ledger is a table, so a
+    hot blob's paths can be split over tasks."""
+    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
     paths = versions.select("path", blob_id(F.col("text")).alias("blob"))
     return paths.join(hits, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
-    """docs with each finding in the text replaced by its kind in brackets; of overlapping findings the first counts.
-    Texts are scanned once per blob, and findings come back by blob."""
-    new = scan_blobs(docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text")), ledger)
-    known = new if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).unionByName(new)
-    hits = known.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+def find_secrets(versions: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """(path, blob, findings) for every row of versions(path, text): what the ledger at ledger_path lacks is scanned and
+    added, and findings come from the ledger."""
+    return joined_back(versions, update_ledger(versions, ledger_path, rule_version), rule_version)
+
+
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None) -> DataFrame:
+    """docs with each finding in the text replaced by its kind in brackets; of overlapping findings the first counts. Texts
+    are scanned once per blob, by way of the ledger (one of the run's own where no path is given). Columns of docs pass
+    through whatever their names."""
+    ledger = update_ledger(docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text")), ledger_path or new_ledger(docs.sparkSession))
+    own, blob, found = (fresh_name(docs.columns, c) for c in ("own_blob", "ledger_blob", "ledger_findings"))
+    hits = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select(F.col("blob").alias(blob), F.col("findings").alias(found))
     text = F.col(text_col)
     piece = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
     step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"]), F.lit("["), s["kind"], F.lit("]")).alias("out")))
-    done = F.aggregate("_findings", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text))))
-    marked = docs.withColumn("_id", blob_id(text)).join(hits, F.col("_id") == F.col("_blob"), "left")
-    return marked.withColumn(text_col, F.when(F.col("_findings").isNotNull(), done).otherwise(text)).select(*docs.columns)
+    done = F.aggregate(found, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text))))
+    marked = docs.withColumn(own, blob_id(text)).join(hits, F.col(own) == F.col(blob), "left")
+    return marked.withColumn(text_col, F.when(F.col(found).isNotNull(), done).otherwise(text)).select(*docs.columns)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents come as two loads, by a hash of their ids, to one ledger: of the second, only blobs that the first didn't
+    have are scanned. Findings go back to all documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    ledger, load = new_ledger(spark), F.coalesce(F.pmod(F.xxhash64("path"), F.lit(2)), F.lit(0))
+    for k in (0, 1):
+        known = update_ledger(docs.where(load == k), ledger)
     count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("findings", lambda s: s["kind"].isin(*BASE_KINDS))
-    return find_secrets(docs).select(F.col("path").alias("doc_id"), *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+    return joined_back(docs, known).select(F.col("path").alias("doc_id"), *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklore.llm.common import joined, let, matches, table
+from worklore.llm.common import fresh_name, joined, let, matches, table
 
 # Possessive forms keep the engine from recursing on long runs; look-behinds start a match at the start of its run.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -100,15 +100,16 @@ def find_pii(docs: DataFrame, text_col: str = "text", min_score: float = 0.6, ou
 
 def redact_pii(docs: DataFrame, text_col: str = "text", min_score: float = 0.6) -> DataFrame:
     """Replace every span found by its kind in brackets; where spans overlap, the earlier one wins."""
-    found = find_pii(docs, text_col, min_score, "_pii")
+    spans = fresh_name(docs.columns, "spans")
+    found = find_pii(docs, text_col, min_score, spans)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ordered = F.array_sort(F.transform("_pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
         F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"))
     )
     done = F.aggregate(ordered, state, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, done).drop("_pii")
+    return found.withColumn(text_col, done).drop(spans)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,9 +68,9 @@ def base_secrets(t):
     return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
 
 
-def test_secrets(docs):
+def test_secrets(docs, spark):
     versions = docs.select(F.col("doc_id").alias("path"), "text")
-    rows = secrets.find_secrets(versions).collect()
+    rows = secrets.find_secrets(versions, secrets.new_ledger(spark)).collect()
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
         t = (TEXTS[r["path"]] if r["path"] is not None else "mail q@w.er") or ""
@@ -85,8 +85,16 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     two = one.unionByName(spark.createDataFrame([("d", "new")], "path string, text string"))
     assert secrets.scan_blobs(two, spark.read.parquet(path)).count() == 1
     assert secrets.update_ledger(two, path).count() == 3 and secrets.update_ledger(two, path, "2").count() == 6
-    hits = {r["path"]: len(r["findings"]) for r in secrets.find_secrets(two, spark.read.parquet(path)).collect()}
+    hits = {r["path"]: len(r["findings"]) for r in secrets.find_secrets(two, path).collect()}
     assert hits == {"a": 1, "b": 1, "c": 0, "d": 0}
+    assert spark.read.parquet(path).count() == 6
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1 a.b@c.de", 1, 2, 3, 4, 5), (2, None, 1, 2, 3, 4, 5)], "doc_id long, text string, own_blob int, LEDGER_BLOB int, ledger_findings int, findings int, spans int")
+    rows = secrets.redact_secrets(docs).orderBy("doc_id").collect()
+    assert tuple(rows[0]) == (1, "[assign] a.b@c.de", 1, 2, 3, 4, 5) and tuple(rows[1]) == (2, None, 1, 2, 3, 4, 5)
+    assert tuple(pii.redact_pii(docs).orderBy("doc_id").collect()[0])[1:] == ("token=abcdefgh1 [email]", 1, 2, 3, 4, 5)
 
 
 def base_quality(t):
@@ -134,7 +142,9 @@ def test_repeated_rows_lose_a_frequent_line_once(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert pii.find_pii(none).count() == 0 and quality_rules.quality_rules(none).count() == 0
-    assert secrets.find_secrets(none.select(F.col("doc_id").alias("path"), "text")).count() == 0
+    assert secrets.find_secrets(none.select(F.col("doc_id").alias("path"), "text"), secrets.new_ledger(spark)).count() == 0
+    pages, seen = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([("http://a.b/", 1)], "url string, bad int")
+    assert url_filter.filter_urls(pages, seen).count() == 0 and url_filter.filter_urls(pages, seen.limit(0)).count() == 0
 
 
 def plain_rule(url):
@@ -170,8 +180,14 @@ def test_reputation_shrinks(spark):
     assert out[0]["verdict"] == "block" and out[60]["verdict"] == "allow" and out[120]["verdict"] == "allow" and out[999]["verdict"] == "allow"
 
 
-def test_native_plans(docs):
-    for df in (pii.find_pii(docs), quality_rules.quality_rules(docs), secrets.find_secrets(docs.select(F.col("doc_id").alias("path"), "text"))):
+def test_registered_domains(spark):
+    hosts = {"a.b.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com": ("y.com", "com"), "y.com:8080": ("y.com", "com"), "u@w.y.com": ("y.com", "com"), "1.2.3.4": ("1.2.3.4", "[address]"), "1.2.3.4:80": ("1.2.3.4", "[address]"), "[::1]:80": ("[::1]", "[address]"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    rows = url_filter._levels(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in rows} == hosts
+
+
+def test_native_plans(docs, spark):
+    for df in (pii.find_pii(docs), quality_rules.quality_rules(docs), secrets.scan_blobs(docs.select(F.col("doc_id").alias("path"), "text"))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 

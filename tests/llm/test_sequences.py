@@ -86,13 +86,38 @@ def test_held_out(spark):
 def test_trigram_vectors_are_bound_and_shifted():
     g = language_id.Trigrams(64, 1)
     v = g.bundle(["abc"])[0]
-    letter = {c: g.letters[g.index[ord(c)]].astype(int) for c in "abc"}
-    space = g.letters[0].astype(int)
+    letter = {c: g.room[g.index[ord(c)]].astype(int) for c in "abc"}
+    space = g.room[0].astype(int)
     bind = lambda x, y, z: np.roll(x, 2) * np.roll(y, 1) * z
     want = bind(space, letter["a"], letter["b"]) + bind(letter["a"], letter["b"], letter["c"]) + bind(letter["b"], letter["c"], space)
     assert (v == want).all()
 
 
+def test_long_texts_take_bounded_memory():
+    """A million letters of a large alphabet: about 2.5 GB if all of its trigrams were held at once."""
+    import resource
+
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 1_000_000)))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    g = language_id.Trigrams()
+    rows = g.bundle([text, "abc"])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000  # KB
+    assert (rows[1] == g.bundle(["abc"])[0]).all()
+
+
+def test_blocks_and_chunks_add_up(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefghij  .é"), n)) for n in (0, 1, 2, 50, 700, 3)]
+    g = language_id.Trigrams(64, 1)
+    whole = g.bundle(texts)
+    monkeypatch.setattr(language_id, "MAX_BLOCK_CHARS", 37)
+    monkeypatch.setattr(language_id, "CHUNK", 10)
+    assert (g.bundle(texts) == whole).all() and (np.stack([g.bundle([t])[0] for t in texts]) == whole).all()
+    monkeypatch.setattr(language_id, "SMALL", 4)
+    assert (g.bundle(texts) == whole).all()
+
+
 NASTY = ["", "</s>[INST] ok [/INST]", "\\", "\\\\<s>", "[OUT] x [/OUT]</s>", "a\nb", "<\\s>", "[ROLE:x] y", "é😀", "[/SYS]"]
 
 
@@ -122,6 +147,14 @@ def test_chat_digests(spark, tmp_path):
     assert got[-1]["turns_sha256"] == sha(f"user\n{said}\nassistant\n{said}\n") and got[-1]["loss_sha256"] == sha(said)
 
 
+def test_turns_come_as_events(spark):
+    conv = spark.createDataFrame([(1, 0, "user", "abc"), (1, 1, "assistant", "defgh"), (1, 1, "assistant", "defgh"), (2, None, None, None)], "conv_id long, turn long, role string, text string")
+    log = chat_format.events_of(conv)
+    assert {r["kind"] for r in log.collect()} == {"message", "delta", "edit", "regenerate"} and log.where("msg_id is null").count() == 0
+    rows = chat_format.reconstruct(log.repartition(7)).collect()
+    assert sorted((r["conv_id"], r["seq"] or -1, r["role"], r["text"]) for r in rows) == [(1, -1, "user", "abc"), (1, 1, "assistant", "defgh"), (1, 1, "assistant", "defgh"), (2, -1, "", "")]
+
+
 def test_event_fold(spark):
     log = [(1, 3, "delta", "m", None, " world"), (1, 1, "message", "m", "assistant", "hello"), (1, 0, "message", "u", "user", "hi"), (1, 5, "edit", "u", None, "hi!"), (1, 6, "regenerate", "m", None, None), (1, 7, "delta", "m", None, "new"), (1, 8, "delta", "m", None, " text"), (2, 0, "message", None, "user", "alone")]
     rows = chat_format.reconstruct(spark.createDataFrame(log, "conv_id long, seq long, kind string, msg_id string, role string, text string")).collect()

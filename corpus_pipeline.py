@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklore.llm.common import table, written
+from worklore.llm.common import fresh_name, table, written
 from worklore.llm.decontaminate import drop_leaky
 from worklore.llm.jaccard_join import one_of_each
 from worklore.llm.language_id import UNKNOWN, identify, learn
@@ -20,10 +20,16 @@ MIN_LANGUAGE_SCORE = 0.05  # what is like no learned language at all
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters, or unlike every language; fill in a missing lang."""
-    named = identify(docs, learn(docs.select("doc_id", "text", "lang")))
-    kept = named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Drop documents without letters, or unlike every language; fill in a missing lang.
+
+    Null and empty texts have no letters. Every row is judged by its own text, so repeated rows stay or go together, and of
+    languages that tie the first by name counts; the score decides alone. Where no row names a language, nothing is learned
+    and all go. Long texts are read whole, in parts. Columns pass through whatever their names; an empty table stays
+    empty."""
+    pred, score = fresh_name(docs.columns, "lang_pred"), fresh_name(docs.columns, "score")
+    named = identify(docs, learn(docs.select("doc_id", "text", "lang")), names=(pred, score))
+    kept = named.where((F.col(pred) != UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +42,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item, or a copy of one within a fifth of its letters.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go together; items without letters or digits match
+    nothing, and an empty benchmark drops nothing. Columns pass through whatever their names; an empty table stays empty."""
     return drop_leaky(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put each secret's kind in its place; the documents stay."""
+    """Put each secret's kind in its place; all documents stay, with n_chars as it is then.
+
+    Null texts stay null; rows with one text get the same; of findings that overlap the first counts. Columns pass through
+    whatever their names; an empty table stays empty."""
     clean = redact_secrets(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset)."""
+    """(doc_id, piece, start, length, ids, sequence_id, offset): all documents in sequences of at most 1024 tokens.
+
+    Null text is empty, and an empty one is its end mark alone; each of repeated rows has pieces of its own; equal sizes are
+    packed in input order; other columns are left out; an empty table has no pieces."""
     return pack(docs)
 
 

@@ -6,6 +6,8 @@ partition, and their number follows the input's size.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +59,20 @@ def deal(bucket: np.ndarray, columns: Columns, kind: int) -> Iterator[tuple[int,
         yield int(b[start]), kind, encode([c[start:end] for c in columns])
 
 
+def freed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows; when they have gone, what it freed goes back to the system. Workers outlive their tasks, and would keep
+    it from the stages that come after."""
+    try:
+        yield from rows
+    finally:
+        del rows
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim:
+            trim(0)
+
+
 class Dealer:
     """Holds columns of several kinds until they fill HELD_BYTES, then deals them out, a row for each kind and bucket."""
 

@@ -398,7 +398,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for items in blocks_of(benchmark, block_chars):
-        hits = d.mapInArrow(lambda b, items=items: _search(b, items), "doc_id long, " + HITS_DDL)
+        hits = d.mapInArrow(lambda b, items=items: blobs.freed(_search(b, items)), "doc_id long, " + HITS_DDL)
         out = hits if out is None else out.unionByName(hits)
     return out if out is not None else d.sparkSession.createDataFrame([], "doc_id long, " + HITS_DDL)
 
@@ -428,7 +428,7 @@ def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[
 def drop_leaky(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs whose text holds no benchmark item, with all their columns, in one pass for each block."""
     for items in blocks_of(benchmark, block_chars):
-        docs = docs.mapInArrow(lambda b, items=items: _clean(b, items), docs.schema)
+        docs = docs.mapInArrow(lambda b, items=items: blobs.freed(_clean(b, items)), docs.schema)
     return docs
 
 

@@ -425,7 +425,7 @@ def across_pairs(members: DataFrame, labels: DataFrame, num: int, den: int, part
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = other.select("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "set", "block", "n", "place", "comp")
     dealt = dealt.repartition(partitions, "list", "x", "y").sortWithinPartitions("list", "x", "y")
-    return dealt.mapInArrow(lambda b: _across(b, num, den), PAIRS_DDL).distinct()
+    return dealt.mapInArrow(lambda b: blobs.freed(_across(b, num, den)), PAIRS_DDL).distinct()
 
 
 def _close(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -461,7 +461,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: in
     each set. A set in many pairs is `a` in them, its text goes once to each of as many salts as its pairs fill."""
     sketch = sets.select("set", "n", "sketch")
     both = pairs.join(sketch.toDF("a", "an", "x"), "a").join(sketch.toDF("b", "bn", "y"), "b")
-    close = written(both.mapInArrow(lambda b: _close(b, num, den), PAIRS_DDL), "close")
+    close = written(both.mapInArrow(lambda b: blobs.freed(_close(b, num, den)), PAIRS_DDL), "close")
     uses = close.select(F.col("a").alias("set")).unionByName(close.select(F.col("b").alias("set"))).groupBy("set").agg(F.count("*").alias("uses"))
     wanted = written(uses.join(sets.select("set", "rep"), "set").select("set", "uses", "rep.doc_id", "rep.tag"), "wanted")
     # an id may come with several texts, and rows may repeat: the tag tells texts apart, and one row of each set stays
@@ -475,7 +475,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: in
     heads = texts.join(p.select(F.col("a").alias("set")).distinct(), "set", "left_semi").select(F.col("set").alias("a"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "text")
     rest = p.join(texts.select(F.col("set").alias("b"), "text"), "b").select("a", "salt", "b", "text")
     met = heads.unionByName(rest).repartition(partitions, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    links = written(met.mapInArrow(lambda b: _verify(b, k, num, den), PAIRS_DDL), "links")
+    links = written(met.mapInArrow(lambda b: blobs.freed(_verify(b, k, num, den)), PAIRS_DDL), "links")
     drop_written(close)
     drop_written(texts)
     return links
@@ -510,7 +510,7 @@ def jaccard_classes(d: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
     """d as of `tagged` -> (doc_id, tag, n, set, component, component_id), a row for each of d's. component is a name of
     its own for each group of linked sets, null for empty sets and null ids; component_id is the least id in it."""
     partitions = fanout(d)
-    first = written(d.mapInArrow(lambda b: _sets(b, shingle), SETS_DDL), "sets")
+    first = written(d.mapInArrow(lambda b: blobs.freed(_sets(b, shingle)), SETS_DDL), "sets")
     rows = first.where(F.col("kind") == DOC).select("doc_id", "tag", "n", "set", "sketch")
     sets = rows.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
     sets = written(sets, "classes")
@@ -522,9 +522,9 @@ def jaccard_classes(d: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
     sizes = {r["n"]: r["count"] for r in sets.where(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}
     limit = choose_limit(sizes, (again or 0) / (seen or 1), num, den)
     live = d.where("doc_id is not null")
-    entered = live.mapInArrow(lambda b: _entries(b, shingle, num, den, limit, common), ENTRIES_DDL)
+    entered = live.mapInArrow(lambda b: blobs.freed(_entries(b, shingle, num, den, limit, common)), ENTRIES_DDL)
     dealt = entered.repartition(partitions, "list", "part").sortWithinPartitions("list", "part")
-    members = written(dealt.mapInArrow(lambda b: _scan(b, num, den), MEMBERS_DDL), "members")
+    members = written(dealt.mapInArrow(lambda b: blobs.freed(_scan(b, num, den)), MEMBERS_DDL), "members")
     near = written(leader_pairs(members, num, den), "leaders")
     links = verified(near, live, sets, shingle, num, den, partitions)
     labels = components(links)

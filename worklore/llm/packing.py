@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worklore.llm import blobs
 from worklore.llm.common import table, written
 
 CAPACITY, END_ID = 1024, 2
@@ -34,6 +35,9 @@ SPACES = " \t\n\r\x0b\x0c\x85\xa0  -     　"
 CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
 
+LOADED: dict = {}  # by path: tokenizer, encoder and cache, loaded once in a worker's life, which spans tasks
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -68,11 +72,9 @@ class ChunkEncoder:
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        # loaded once in a worker's life, which spans tasks: kept on a module that does
-        kept = tokenizers.__dict__.setdefault("_loaded_for_packing", {})
-        if path not in kept:
-            kept[path] = (tokenizers.Tokenizer.from_file(path), rank_encoding(path), {})
-        self.tokenizer, self.ranks, self.cache = kept[path]
+        if path not in LOADED:
+            LOADED[path] = (tokenizers.Tokenizer.from_file(path), rank_encoding(path), {})
+        self.tokenizer, self.ranks, self.cache = LOADED[path]
         self.line_end = self.ranks.encode_ordinary("\n")[0] if self.ranks else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -196,13 +198,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     of at most `capacity` tokens. ids holds little-endian uint32. The pieces are a table in the shared folder."""
     path = tokenizer or default_tokenizer()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = written(texts.mapInArrow(lambda b: _tokenize(b, path, capacity, end_id), PIECES_DDL), "pieces")
+    pieces = written(texts.mapInArrow(lambda b: blobs.freed(_tokenize(b, path, capacity, end_id)), PIECES_DDL), "pieces")
     under = pieces.where((F.col("place") == 0) & (F.col("fill") < capacity - slack))
     left = under.select("bin", F.col("bin").alias("top"), F.lit(0).cast("long").alias("at"), "fill")
     n, turn, final = left.count(), 0, []
     while n:
         nodes = -(-n // node_bins)
-        packed = left.repartition(nodes, F.xxhash64("top", F.lit(turn))).mapInArrow(lambda b, k=slack << turn: _repack(b, capacity, k), "bin long, top long, at long, fill long, done boolean")
+        packed = left.repartition(nodes, F.xxhash64("top", F.lit(turn))).mapInArrow(lambda b, k=slack << turn: blobs.freed(_repack(b, capacity, k)), "bin long, top long, at long, fill long, done boolean")
         packed = written(packed, f"bins{turn}")
         last = nodes == 1
         left = packed.where("not done").drop("done")

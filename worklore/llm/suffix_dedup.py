@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from worklore.llm import blobs
 from worklore.llm.blobs import mix, new_groups, spread
-from worklore.llm.common import drop_written, table, written
+from worklore.llm.common import table, written
 
 LENGTH = 50
 GRAM = 24
@@ -360,17 +360,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = d.where("doc_id is not null")
     partitions, buckets = blobs.counts(docs)
-    often = named.mapInArrow(_often, "name long, count long").groupBy("name").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_COUNT)
+    often = named.mapInArrow(lambda b: blobs.freed(_often(b)), "name long, count long").groupBy("name").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_COUNT)
     # COMMON names at most; any choice of them gives the same result
     common = often.orderBy(F.desc("count"), "name").limit(COMMON).toArrow().column("name").to_numpy().view(np.uint64)
-    runs = named.mapInArrow(lambda b: _runs(b, length, buckets, common), blobs.DDL)
-    settled = written(blobs.exchange(runs, partitions).mapInArrow(lambda b: _settle(b, buckets), blobs.DDL), "settled")
-    texts = named.mapInArrow(lambda b: _texts(b, buckets), blobs.DDL)
+    runs = named.mapInArrow(lambda b: blobs.freed(_runs(b, length, buckets, common)), blobs.DDL)
+    settled = written(blobs.exchange(runs, partitions).mapInArrow(lambda b: blobs.freed(_settle(b, buckets)), blobs.DDL), "settled")
+    texts = named.mapInArrow(lambda b: blobs.freed(_texts(b, buckets)), blobs.DDL)
     checks = texts.unionByName(settled.where(F.col("kind") == CHECKS))
-    contexts = blobs.exchange(checks, partitions).mapInArrow(lambda b: _contexts(b, length, buckets), blobs.DDL)
-    refined = written(blobs.exchange(contexts, partitions).mapInArrow(lambda b: _refined(b, length, buckets), blobs.DDL), "refined")
+    contexts = blobs.exchange(checks, partitions).mapInArrow(lambda b: blobs.freed(_contexts(b, length, buckets)), blobs.DDL)
+    refined = written(blobs.exchange(contexts, partitions).mapInArrow(lambda b: blobs.freed(_refined(b, length, buckets)), blobs.DDL), "refined")
     marked = texts.unionByName(settled.where(F.col("kind") == RANGES)).unionByName(refined)
-    done = blobs.exchange(marked, partitions).mapInArrow(lambda b: _finish(b, length), OUT_DDL)
+    done = blobs.exchange(marked, partitions).mapInArrow(lambda b: blobs.freed(_finish(b, length)), OUT_DDL)
     text = F.coalesce("text", F.lit("")).cast("binary")
     zero = F.lit(0).cast("long")
     return done.unionByName(d.where("doc_id is null").select("doc_id", F.length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), text.alias("kept")))

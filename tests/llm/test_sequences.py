@@ -1,6 +1,8 @@
 """Packing, language ID and chat formatting."""
 
+import gc
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -59,6 +61,43 @@ def test_pack(spark, node_bins):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_workers_keep_little_between_tasks(monkeypatch):
+    """A full cache of chunks is a few MB once a task has ended, and gives the next one the same ids."""
+    monkeypatch.setattr(packing, "LOADED", {})
+    texts = [" ".join(f"w{i}x{k}" for k in range(1000)) for i in range(200)] + ["often said, and said again\n"]
+    packing.ChunkEncoder(packing.default_tokenizer())
+    tracemalloc.start()
+    e = packing.ChunkEncoder(packing.default_tokenizer())
+    first = [e.encode([t, texts[-1]]) for t in texts]
+    assert len(e.cache) + len(e.older) <= 2 * packing.CACHE_ENTRIES + 2000
+    e.close()
+    del e
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0] - sum(len(x) for pair in first for x in pair)
+    tracemalloc.stop()
+    assert kept < 10 << 20
+    again = packing.ChunkEncoder(packing.default_tokenizer())
+    assert again.cache and [again.encode([t, texts[-1]]) for t in texts] == first
+    assert np.frombuffer(first[3][0], "<u4").tolist() == again.tokenizer.encode(texts[3], add_special_tokens=False).ids
+
+
+def test_packing_takes_small_batches(spark, monkeypatch):
+    real, key = packing._tokenize, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def checked(batches, *rest):
+        def seen():
+            for b in batches:
+                assert b.num_rows <= 1024
+                yield b
+
+        return real(seen(), *rest)
+
+    monkeypatch.setattr(packing, "_tokenize", checked)
+    before = spark.conf.get(key)
+    assert packing.pack(spark.range(3000).selectExpr("id AS doc_id", "'a b' AS text").coalesce(1)).count() == 3000
+    assert spark.conf.get(key) == before
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(2)
     vocab = {"aa": ["kala", "mela", "noka", "tula"], "bb": ["strzt", "grrn", "zwick", "pfolt"], "cc": ["ñuñe", "éclair", "où", "çaté"]}

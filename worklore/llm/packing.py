@@ -15,6 +15,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,17 @@ from worklore.llm.common import table, written
 CAPACITY, END_ID = 1024, 2
 WINDOW_TOKENS = 4_000_000
 NODE_BINS = 50_000
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+#: entries of each of the cache's two generations; characters of a chunk that is kept
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 64
+#: an executor holds a batch of each task in several copies: rows of a batch in and out, bytes of text encoded at a time
+BATCH_ROWS, ENCODED_BYTES = 1024, 1 << 20
 # Unicode's White_Space, as the tokenizer's pattern has it
 SPACES = " \t\n\r\x0b\x0c\x85\xa0  -     　"
 # Pre-tokens never span a change from other characters to white space, so texts can be encoded in these chunks.
 CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
 
-LOADED: dict = {}  # by path: tokenizer, encoder and cache, loaded once in a worker's life, which spans tasks
+LOADED: dict = {}  # by path: tokenizer, encoder and frozen cache, loaded once in a worker's life, which spans tasks
 
 
 def default_tokenizer() -> str:
@@ -65,16 +69,30 @@ def rank_encoding(path: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def frozen(cache: dict[str, bytes]) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """A cache in a few bytes an entry, as a worker keeps it between tasks, when its memory is other stages'."""
+    keys = cache.keys()
+    return "".join(keys).encode("utf-8", "surrogatepass"), b"".join(cache.values()), np.fromiter(map(len, keys), np.int32, len(cache)), np.fromiter(map(len, cache.values()), np.int32, len(cache))
+
+
+def thawed(texts: bytes, ids: bytes, chars: np.ndarray, sizes: np.ndarray) -> dict[str, bytes]:
+    text = texts.decode("utf-8", "surrogatepass")
+    i, k = np.cumsum(chars).tolist(), np.cumsum(sizes).tolist()
+    return {text[a:b]: ids[c:d] for a, b, c, d in zip([0, *i], i, [0, *k], k, strict=False)}
+
+
 class ChunkEncoder:
-    """Encodes texts as little-endian uint32 ids; the ids of short chunks are kept, in bounded memory."""
+    """Encodes texts as little-endian uint32 ids; the ids of short chunks are kept, in bounded memory: of a full cache those
+    stay that are met again before the next is full."""
 
     def __init__(self, path: str):
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in LOADED:
-            LOADED[path] = (tokenizers.Tokenizer.from_file(path), rank_encoding(path), {})
-        self.tokenizer, self.ranks, self.cache = LOADED[path]
+            LOADED[path] = (tokenizers.Tokenizer.from_file(path), rank_encoding(path), frozen({}))
+        self.path, (self.tokenizer, self.ranks, kept) = path, LOADED[path]
+        self.cache, self.older = thawed(*kept), {}
         self.line_end = self.ranks.encode_ordinary("\n")[0] if self.ranks else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -101,14 +119,20 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [CHUNK.findall(t) for t in texts]
         if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        known = self.cache
-        made = self._fill([c for c in set().union(*split) if c not in known])
+            self.cache, self.older = {}, self.cache
+        known, older = self.cache, self.older
+        fresh = [c for c in set().union(*split) if c not in known]
+        known.update((c, older[c]) for c in fresh if c in older)
+        made = self._fill([c for c in fresh if c not in known])
         long = {c: b for c, b in made.items() if len(c) > CACHE_CHARS}
         self.cache.update((c, b) for c, b in made.items() if len(c) <= CACHE_CHARS)
         get = self.cache.__getitem__ if not long else lambda c: long[c] if c in long else self.cache[c]
         return [b"".join(map(get, chunks)) for chunks in split]
 
+    def close(self) -> None:
+        """Leave the cache to the worker's next task."""
+        LOADED[self.path] = (self.tokenizer, self.ranks, frozen(self.older | self.cache))
+
 
 def best_fit(sizes: list[int] | np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best fit decreasing: (bin of each item, offset of each item in its bin, fill of each bin)."""
@@ -156,24 +180,23 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_i
     def packed() -> Iterator[pa.RecordBatch]:
         nonlocal next_bin
         which, place, fills = best_fit([r[3] for r in rows], capacity)
-        for i in range(0, len(rows), 4096):
-            part = rows[i : i + 4096]
-            w = which[i : i + 4096]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t.type) for c, t in zip(zip(*part, strict=True), PIECES, strict=False)), pa.array(w + next_bin), pa.array(place[i : i + 4096]), pa.array(fills[w])], schema=PIECES)
+        for i in range(0, len(rows), BATCH_ROWS):
+            part = rows[i : i + BATCH_ROWS]
+            w = which[i : i + BATCH_ROWS]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t.type) for c, t in zip(zip(*part, strict=True), PIECES, strict=False)), pa.array(w + next_bin), pa.array(place[i : i + BATCH_ROWS]), pa.array(fills[w])], schema=PIECES)
         next_bin += len(fills)
 
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                ids += end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc_id, k, start, n, ids[4 * start : 4 * (start + n)]))
-                held += len(ids) // 4
-            if held >= WINDOW_TOKENS:
-                yield from packed()
-                rows, held = [], 0
+    for part in blobs.text_blocks(batches, size=ENCODED_BYTES):
+        texts = [t or "" for t in part.column(1).to_pylist()]
+        for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            ids += end
+            for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                rows.append((doc_id, k, start, n, ids[4 * start : 4 * (start + n)]))
+            held += len(ids) // 4
+        if held >= WINDOW_TOKENS:
+            yield from packed()
+            rows, held = [], 0
+    encoder.close()
     if rows:
         yield from packed()
 
@@ -193,12 +216,28 @@ def _repack(batches: Iterator[pa.RecordBatch], capacity: int, slack: int) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array(bin_), pa.array(heads[w]), pa.array(at + place[inverse]), pa.array(fills[w]), pa.array(fills[w] >= capacity - slack)], ["bin", "top", "at", "fill", "done"])
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Until it is left, jobs send Python no more than BATCH_ROWS rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before or 0)) if int(before or 0) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, slack: int = 8, node_bins: int = NODE_BINS) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset): every document's pieces and their places in sequences
     of at most `capacity` tokens. ids holds little-endian uint32. The pieces are a table in the shared folder."""
     path = tokenizer or default_tokenizer()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = written(texts.mapInArrow(lambda b: blobs.freed(_tokenize(b, path, capacity, end_id)), PIECES_DDL), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = written(texts.mapInArrow(lambda b: blobs.freed(_tokenize(b, path, capacity, end_id)), PIECES_DDL), "pieces")
     under = pieces.where((F.col("place") == 0) & (F.col("fill") < capacity - slack))
     left = under.select("bin", F.col("bin").alias("top"), F.lit(0).cast("long").alias("at"), "fill")
     n, turn, final = left.count(), 0, []

@@ -139,6 +139,17 @@ def test_repeated_rows_lose_a_frequent_line_once(spark):
     assert collections.Counter((r["doc_id"], r["removed_words"]) for r in got) == collections.Counter([(i, 22) for i, _, _ in rows[:-2]] + [(6, 12), (7, 0)])
 
 
+def test_frequent_lines_are_removed_from_texts(spark):
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, f"HOME | about\n{own(i, 12)}\n\n  home  |\tAbout \nlast line {i}\nall rights are reserved", "a") for i in range(12)]
+    rows += [(20, "home | about", "a"), (21, "home | about\n" + own(21, 12), "b"), (22, None, "a"), (23, "\n\nhome | about\n\n", "a"), rows[1], (None, rows[2][1], "a")]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), min_docs=10).collect()
+    want = [(i, f"{own(i, 12)}\n\nlast line {i}", 10) for i in [*range(12), 1]] + [(None, f"{own(2, 12)}\n\nlast line 2", 10)]
+    want += [(20, "", 3), (21, rows[13][1], 0), (22, "", 0), (23, "\n\n\n", 3)]
+    assert collections.Counter((r["doc_id"], r["clean_text"], r["removed_words"]) for r in got) == collections.Counter(want)
+    assert {r["doc_id"] for r in got if not r["kept"]} == {20, 22, 23}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert pii.find_pii(none).count() == 0 and quality_rules.quality_rules(none).count() == 0

@@ -1,11 +1,12 @@
 """Quality rules: per-document counts, and lines that too many documents of one host share.
 
 Lines are normalised and hashed; the distinct texts that hold a line are counted by host (`source`). Lines in at least
-`min_docs` texts are removed, and a document of which too little is left is rejected. Copies of one text count once, so
+`min_docs` texts are removed from each text, what is left is returned and its words are counted, and a document of which too
+little is left is rejected. Copies of one text count once, so
 that a duplicated clean document isn't taken for boilerplate.
 
 Edge cases: null or empty text has no words and fails; null sources form one host; null ids and repeated rows are kept,
-one output row for each input row, with equal verdicts for equal rows; columns of other names pass through. A hot host
+one output row for each input row, with equal verdicts for equal rows; other columns are left out. A hot host
 or line is spread by the other parts of the aggregation key and combined before the exchange.
 """
 
@@ -57,11 +58,23 @@ def normal_line(line: Column) -> Column:
 
 
 def line_words(docs: DataFrame) -> DataFrame:
-    """A row for each line that has words: (doc_id, text_hash, row, line, n), line being a hash of host and normal form and
-    row a number of the input row."""
-    lines = F.transform(F.split("text", "\n"), lambda x: let(normal_line(x), lambda v: F.struct(F.xxhash64(F.col("host"), v).alias("line"), F.when(v == "", 0).otherwise(F.length(v) - F.length(F.translate(v, " ", "")) + 1).alias("n"))))
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    return numbered.select("doc_id", "text_hash", "row", F.explode(lines).alias("x")).select("doc_id", "text_hash", "row", "x.line", "x.n").where("n > 0")
+    """A row for each line that has words: (doc_id, text_hash, at, line), line being a hash of host and normal form and at its
+    place in the text."""
+    lines = F.transform(F.split("text", "\n"), lambda x: let(normal_line(x), lambda v: F.when(v != "", F.xxhash64(F.col("host"), v))))
+    return docs.select("doc_id", "text_hash", F.posexplode(lines).alias("at", "line")).where("line is not null")
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without the lines at these places, which are in order: the runs of lines between them."""
+
+    def runs(lines: Column, gone: Column) -> Column:
+        def run(k: Column) -> Column:
+            start = F.coalesce(F.get(gone, k - 1) + 1, F.lit(0))
+            return F.slice(lines, start + 1, F.coalesce(F.get(gone, k), F.size(lines)) - start)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), run)), "\n")
+
+    return let(F.split(text, "\n"), lambda lines: let(places, lambda gone: runs(lines, gone)))
 
 
 def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -69,21 +82,25 @@ def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", min_docs: int = MIN_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept)."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept, clean_text):
+    clean_text is the text without its frequent lines, and removed_words are those that it lacks."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), text.alias("text")).withColumn("text_hash", F.xxhash64("text", "host"))
     lines = line_words(d)
-    # summed by row first: rows that repeat give the text's lines each, and all come to the same sum
-    removed = lines.join(frequent_lines(lines, min_docs), "line", "left_semi").groupBy("doc_id", "text_hash", "row").agg(F.sum("n").alias("n"))
-    removed = removed.groupBy("doc_id", "text_hash").agg(F.max("n").alias("removed_words"))
-    removed = removed.select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "removed_words")
-    base = d.select("doc_id", "text_hash", text_counts(F.col("text")).alias("c")).select("doc_id", "text_hash", "c.*")
-    out = base.join(removed, (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")), "left")
-    gone = F.coalesce("removed_words", F.lit(0))
+    # a set: rows that repeat give the text's lines each, and all come to the same places
+    gone = lines.join(frequent_lines(lines, min_docs), "line", "left_semi").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "gone")
+    base = d.select("doc_id", "text_hash", "text", text_counts(F.col("text")).alias("c")).select("doc_id", "text_hash", "text", "c.*")
+    out = base.join(gone, (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")), "left")
+    rest = let(without_lines(F.col("text"), F.col("gone")), lambda t: F.struct(t.alias("text"), F.size(words(t)).cast("long").alias("n")))
+    whole = F.struct(F.col("text"), F.col("n_words").alias("n"))
+    out = out.withColumn("left", F.when(F.col("gone").isNull(), whole).otherwise(rest))
+    removed, left = F.col("n_words") - F.col("left.n"), F.col("left.n")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    depleted = F.col("n_words") - gone < F.greatest(F.lit(float(MIN_WORDS)), F.col("n_words") * min_kept)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("removed_words"), failed.alias("base_failed"), (~failed & ~((gone > 0) & depleted)).alias("kept"))
+    depleted = left < F.greatest(F.lit(float(MIN_WORDS)), F.col("n_words") * min_kept)
+    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select(*counts, removed.alias("removed_words"), failed.alias("base_failed"), (~failed & ~((removed > 0) & depleted)).alias("kept"), F.col("left.text").alias("clean_text"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")

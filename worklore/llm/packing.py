@@ -100,15 +100,15 @@ class ChunkEncoder:
         made: dict[str, bytes] = {}
         if self.ranks:
             # one call for all: a line end between chunks is a pre-token and an id of its own
-            lines = [c for c in chunks if "\n" not in c and (c[0] not in SPACES or c[0] == " " and c[1:2] and c[1] not in SPACES)]
+            lines = [c for c in chunks if c[0] not in SPACES or c[0] == " " and c[1:2] not in SPACES]  # an empty one is in SPACES
             text = "\n".join(lines)
             if any(x in text for x in self.special):
                 lines = [c for c in lines if not any(x in c for x in self.special)]
                 text = "\n".join(lines)
             ids = np.asarray(self.ranks.encode_ordinary(text), dtype="<u4")
-            cuts = (np.flatnonzero(ids == self.line_end) * 4).tolist()
+            cuts = np.flatnonzero(ids == self.line_end) * 4
             raw = ids.tobytes()
-            made = {c: raw[i:j] for c, i, j in zip(lines, [0, *(x + 4 for x in cuts)], [*cuts, len(raw)], strict=True)} if lines else {}
+            made = {c: raw[i:j] for c, i, j in zip(lines, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)} if lines else {}
         rest = [c for c in chunks if c not in made]
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
@@ -121,12 +121,13 @@ class ChunkEncoder:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache, self.older = {}, self.cache
         known, older = self.cache, self.older
-        fresh = [c for c in set().union(*split) if c not in known]
-        known.update((c, older[c]) for c in fresh if c in older)
-        made = self._fill([c for c in fresh if c not in known])
+        fresh = set().union(*split).difference(known)
+        new = fresh.difference(older)
+        known.update((c, older[c]) for c in fresh - new)
+        made = self._fill(list(new))
         long = {c: b for c, b in made.items() if len(c) > CACHE_CHARS}
-        self.cache.update((c, b) for c, b in made.items() if len(c) <= CACHE_CHARS)
-        get = self.cache.__getitem__ if not long else lambda c: long[c] if c in long else self.cache[c]
+        known.update(made if not long else ((c, b) for c, b in made.items() if c not in long))
+        get = known.__getitem__ if not long else lambda c: long[c] if c in long else known[c]
         return [b"".join(map(get, chunks)) for chunks in split]
 
     def close(self) -> None:

@@ -167,10 +167,11 @@ def new_groups(*columns: np.ndarray) -> np.ndarray:
 
 
 class Frequent:
-    """Counts of a task's names in bounded room, by the mergeable form of Misra and Gries' summary: beyond ROOM, the
+    """Counts of a task's names in bounded room, by the mergeable form of Misra and Gries' summary: beyond `room`, the
     largest count that is to go is taken off all. A name's count is never above the true one."""
 
-    def __init__(self):
+    def __init__(self, counted: int = COUNTED, room: int = ROOM):
+        self.counted, self.room = counted, room
         self.names, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.held: list[np.ndarray] = []
         self.n = self.seen = self.again = 0
@@ -178,7 +179,7 @@ class Frequent:
     def add(self, names: np.ndarray) -> None:
         self.held.append(names)
         self.n += len(names)
-        if self.n >= COUNTED:
+        if self.n >= self.counted:
             self.merge()
 
     def merge(self) -> None:
@@ -191,8 +192,8 @@ class Frequent:
         starts = np.flatnonzero(new_groups(names))
         if len(starts):
             names, counts = names[starts], np.add.reduceat(counts, starts)
-        if len(names) > ROOM:
-            counts = counts - np.partition(counts, len(counts) - ROOM - 1)[len(counts) - ROOM - 1]
+        if len(names) > self.room:
+            counts = counts - np.partition(counts, len(counts) - self.room - 1)[len(counts) - self.room - 1]
             names, counts = names[counts > 0], counts[counts > 0]
         self.names, self.counts = names, counts
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklore.llm import blobs
-from worklore.llm.blobs import Frequent, mix, new_groups
+from worklore.llm.blobs import COUNTED, ROOM, mix, new_groups
 from worklore.llm.common import drop_written, fanout, fresh_name, held_small, table, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
@@ -51,6 +51,13 @@ LONG, BLOCK = 1024, 2048
 SALT = 256
 
 
+class Frequent(blobs.Frequent):
+    """Counts of shingles, in this module's room."""
+
+    def __init__(self):
+        super().__init__(COUNTED, ROOM)
+
+
 class Words(dict):
     """64-bit names of words, by BLAKE2. Short ones are kept, a bounded number of them."""
 

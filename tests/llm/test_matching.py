@@ -108,6 +108,26 @@ def test_every_linked_pair_meets_in_a_list_and_passes(num, den, limit):
     assert pairs > 50
 
 
+def test_classes_take_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for name in ("_sets", "_entries"):
+
+        def checked(batches, *rest, real=getattr(jaccard_join, name)):
+            def small():
+                for b in batches:
+                    assert b.num_rows <= 1024
+                    yield b
+
+            return real(small(), *rest)
+
+        monkeypatch.setattr(jaccard_join, name, checked)
+    before = spark.conf.get(key)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('a b c ', id % 7, ' ', id % 5, ' e') AS text").coalesce(1)
+    kept = jaccard_join.one_of_each(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(35))
+    assert spark.conf.get(key) == before
+
+
 def test_boundary_follows_cost():
     sizes = {s: 10 for s in range(1, 25)}
     limits = [jaccard_join.choose_limit(sizes, r, 85, 100) for r in (0.0, 0.05, 0.2, 1.0)]

@@ -6,6 +6,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,6 +99,18 @@ def test_packing_takes_small_batches(spark, monkeypatch):
     assert spark.conf.get(key) == before
 
 
+def test_language_blocks_in_bounded_memory():
+    rng, letters = np.random.default_rng(5), np.asarray(list("abcdefghijklmnopqrstuvwxyzäöüßéèñ "))
+    batch = pa.RecordBatch.from_arrays([pa.array(["".join(letters[rng.integers(0, len(letters), 4000)]) for _ in range(256)])], ["text"])
+    grams = language_id.Trigrams()
+    tracemalloc.start()
+    for part in language_id.blocks(batch):
+        grams.bundle(part.column(0).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(2)
     vocab = {"aa": ["kala", "mela", "noka", "tula"], "bb": ["strzt", "grrn", "zwick", "pfolt"], "cc": ["ñuñe", "éclair", "où", "çaté"]}

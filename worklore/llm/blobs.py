@@ -9,11 +9,12 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from worklore.llm.common import fanout, input_bytes
 
@@ -73,6 +74,21 @@ def freed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trim(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Until it is left, jobs send Python no more than so many rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(rows, int(before or 0)) if int(before or 0) > 0 else rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Dealer:
     """Holds columns of several kinds until they fill HELD_BYTES, then deals them out, a row for each kind and bucket."""
 

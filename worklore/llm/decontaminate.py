@@ -405,7 +405,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _clean(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
     index = ItemIndex(items)
-    for part in blobs.text_blocks(batches, size=1 << 20):
+    for part in blobs.text_blocks(batches, size=1 << 19):
         sym, keep, ends = index.alphabet.codes([t or "" for t in part.column("text").to_pylist()])
         leaky = {hit[0] for hit in index.verify(sym, ends, keep)} if len(sym) else set()
         yield part.filter(pa.array([i not in leaky for i in range(part.num_rows)]))

@@ -48,6 +48,8 @@ COMMON, LEAST_COUNT = 1 << 18, 16
 #: largest size that can be light; what testing a candidate costs, in list entries
 LIGHT_MOST, TEST_COST = 24, 40
 LONG, BLOCK = 1024, 2048
+#: rows of a batch of texts, which an executor holds in several copies for each task, and bytes of text taken at a time
+BATCH_ROWS, TEXT_BYTES = 1024, 1 << 20
 SALT = 256
 
 
@@ -193,7 +195,7 @@ def _rows(schema: pa.Schema, length: int, /, **columns) -> pa.RecordBatch:
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A DOC row for each text, with a sketch at the first of equal sets in a block; at the end the task's counts."""
     maker, often = Shingles(k), Frequent()
-    for part in blobs.text_blocks(batches):
+    for part in blobs.text_blocks(batches, size=TEXT_BYTES):
         names, bounds = maker.sets(texts_of(part))
         which = set_names(names, bounds)
         first = dict(zip(reversed(which), range(len(which) - 1, -1, -1), strict=True))
@@ -255,7 +257,7 @@ ENTRIES = pa.schema([("list", pa.int64()), ("part", pa.int32()), ("set", pa.bina
 def _entries(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, limit: int, common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """What sets enter in lists, each set once in a block. Lists of shingles known as common go in parts, numbered from 1."""
     maker, order = Shingles(k), Order(*common)
-    for part in blobs.text_blocks(batches):
+    for part in blobs.text_blocks(batches, size=TEXT_BYTES):
         names, bounds = maker.sets(texts_of(part))
         which, size = set_names(names, bounds), np.diff(bounds)
         once = np.asarray(sorted(dict(zip(reversed(which), range(len(which) - 1, -1, -1), strict=True)).values()), np.int64)
@@ -451,7 +453,7 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (a, salt), first a's own text, b being null, then texts of sets that it may be linked with."""
     maker, own = Shingles(k), None
-    for part in blobs.text_blocks(batches):
+    for part in blobs.text_blocks(batches, size=TEXT_BYTES):
         a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
         found = []
         for x, y, names in zip(a, b, maker.of_texts(texts_of(part)), strict=True):
@@ -482,7 +484,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: in
     heads = texts.join(p.select(F.col("a").alias("set")).distinct(), "set", "left_semi").select(F.col("set").alias("a"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "text")
     rest = p.join(texts.select(F.col("set").alias("b"), "text"), "b").select("a", "salt", "b", "text")
     met = heads.unionByName(rest).repartition(partitions, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    links = written(met.mapInArrow(lambda b: blobs.freed(_verify(b, k, num, den)), PAIRS_DDL), "links")
+    with blobs.small_batches(docs.sparkSession, BATCH_ROWS):
+        links = written(met.mapInArrow(lambda b: blobs.freed(_verify(b, k, num, den)), PAIRS_DDL), "links")
     drop_written(close)
     drop_written(texts)
     return links
@@ -517,7 +520,8 @@ def jaccard_classes(d: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
     """d as of `tagged` -> (doc_id, tag, n, set, component, component_id), a row for each of d's. component is a name of
     its own for each group of linked sets, null for empty sets and null ids; component_id is the least id in it."""
     partitions = fanout(d)
-    first = written(d.mapInArrow(lambda b: blobs.freed(_sets(b, shingle)), SETS_DDL), "sets")
+    with blobs.small_batches(d.sparkSession, BATCH_ROWS):
+        first = written(d.mapInArrow(lambda b: blobs.freed(_sets(b, shingle)), SETS_DDL), "sets")
     rows = first.where(F.col("kind") == DOC).select("doc_id", "tag", "n", "set", "sketch")
     sets = rows.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
     sets = written(sets, "classes")
@@ -531,7 +535,8 @@ def jaccard_classes(d: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
     live = d.where("doc_id is not null")
     entered = live.mapInArrow(lambda b: blobs.freed(_entries(b, shingle, num, den, limit, common)), ENTRIES_DDL)
     dealt = entered.repartition(partitions, "list", "part").sortWithinPartitions("list", "part")
-    members = written(dealt.mapInArrow(lambda b: blobs.freed(_scan(b, num, den)), MEMBERS_DDL), "members")
+    with blobs.small_batches(d.sparkSession, BATCH_ROWS):
+        members = written(dealt.mapInArrow(lambda b: blobs.freed(_scan(b, num, den)), MEMBERS_DDL), "members")
     near = written(leader_pairs(members, num, den), "leaders")
     links = verified(near, live, sets, shingle, num, den, partitions)
     labels = components(links)

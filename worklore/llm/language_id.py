@@ -25,8 +25,8 @@ from worklore.llm.common import fresh_name, table
 
 DIMENSIONS, SEED = 1024, 20
 UNKNOWN = "und"
-MAX_BLOCK_CHARS, MAX_BLOCK_DOCS = 1_000_000, 256
-CHUNK = 8192  # trigrams whose vectors are held at a time
+MAX_BLOCK_CHARS, MAX_BLOCK_DOCS = 500_000, 256
+CHUNK = 2048  # trigrams whose vectors are held at a time
 SMALL = 128  # alphabets below this size get direct tables
 
 

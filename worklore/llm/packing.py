@@ -15,7 +15,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -217,27 +216,12 @@ def _repack(batches: Iterator[pa.RecordBatch], capacity: int, slack: int) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array(bin_), pa.array(heads[w]), pa.array(at + place[inverse]), pa.array(fills[w]), pa.array(fills[w] >= capacity - slack)], ["bin", "top", "at", "fill", "done"])
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Until it is left, jobs send Python no more than BATCH_ROWS rows at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(min(BATCH_ROWS, int(before or 0)) if int(before or 0) > 0 else BATCH_ROWS))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, slack: int = 8, node_bins: int = NODE_BINS) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset): every document's pieces and their places in sequences
     of at most `capacity` tokens. ids holds little-endian uint32. The pieces are a table in the shared folder."""
     path = tokenizer or default_tokenizer()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    with small_batches(docs.sparkSession):
+    with blobs.small_batches(docs.sparkSession, BATCH_ROWS):
         pieces = written(texts.mapInArrow(lambda b: blobs.freed(_tokenize(b, path, capacity, end_id)), PIECES_DDL), "pieces")
     under = pieces.where((F.col("place") == 0) & (F.col("fill") < capacity - slack))
     left = under.select("bin", F.col("bin").alias("top"), F.lit(0).cast("long").alias("at"), "fill")

@@ -10,7 +10,7 @@ import pytest
 from test_matching import brute_components, brute_removal, edit_distance_to_best_place
 from test_native import base_pii, base_quality, base_secrets, plain_rule
 
-from worklore.llm import decontaminate, language_id, packing, registry
+from worklore.llm import decontaminate, language_id, packing, registry, suffix_dedup
 
 VOWELS = {"en": "aeiou", "de": "äöüei", "fr": "éèàou"}
 
@@ -163,3 +163,10 @@ def test_op9(spark, corpus):
     for r in run(spark, corpus, "op9_quality_rules"):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base_quality(corpus[1][r["doc_id"]])
         assert not (r["base_failed"] and r["kept"])
+
+
+def test_op6_exchanges_a_small_table_once(spark, corpus, monkeypatch):
+    real, seen = suffix_dedup.remove_repeats, []
+    monkeypatch.setattr(suffix_dedup, "remove_repeats", lambda docs: seen.append(docs) or real(docs))
+    assert suffix_dedup.op6_suffix_dedup(spark, corpus[0]).count() == spark.read.parquet(f"{corpus[0]}/documents.parquet").count()
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()

@@ -37,6 +37,15 @@ def drop_written(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def reread(docs: DataFrame) -> DataFrame:
+    """A table that is read several times: one of as many files as cores is left as it lies; another small one is dealt over
+    all cores and written, so that it is exchanged once and not for each reading."""
+    if len(docs.inputFiles()) >= docs.sparkSession.sparkContext.defaultParallelism:
+        return docs
+    spread = dealt(docs)
+    return docs if spread is docs else written(spread, "dealt")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's sizes of the tables that a plan reads, for choosing partition counts; 0 where no size is known."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from worklore.llm import blobs
 from worklore.llm.blobs import mix, new_groups, spread
-from worklore.llm.common import table, written
+from worklore.llm.common import reread, written
+from worklore.sources.tables import read_table
 
 LENGTH = 50
 GRAM = 24
@@ -377,5 +378,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents"))
+    out = remove_repeats(reread(read_table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -1,7 +1,8 @@
 """The corpus pipeline: language, near duplicates, benchmark leaks, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows
-with null id pass every stage that keys on ids; nulls in other columns are allowed everywhere.
+with null id pass every stage that keys on ids; nulls in other columns are allowed everywhere. Stages run one after another
+on the same executors, so each begins by having them give back what the one before has left (`let_go`).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklore.llm.common import fresh_name, table, written
+from worklore.llm.common import fresh_name, let_go, table, written
 from worklore.llm.decontaminate import drop_leaky
 from worklore.llm.jaccard_join import one_of_each
 from worklore.llm.language_id import UNKNOWN, identify, learn
@@ -38,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts that are alike but have one id count as such, of them the one of least hash stays, and of equal rows one;
     unlike texts under one id all stay, and so do rows with null id and texts without words. Columns pass through
     whatever their names; an empty table stays empty."""
+    let_go(spark)
     return one_of_each(docs, shingle=5, num=80, den=100)
 
 
@@ -46,6 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts hold nothing and stay; repeated rows stay or go together; items without letters or digits match
     nothing, and an empty benchmark drops nothing. Columns pass through whatever their names; an empty table stays empty."""
+    let_go(spark)
     return drop_leaky(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -54,6 +57,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null; rows with one text get the same; of findings that overlap the first counts. Columns pass through
     whatever their names; an empty table stays empty."""
+    let_go(spark)
     clean = redact_secrets(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -63,6 +67,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null text is empty, and an empty one is its end mark alone; each of repeated rows has pieces of its own; equal sizes are
     packed in input order; other columns are left out; an empty table has no pieces."""
+    let_go(spark)
     return pack(docs)
 
 

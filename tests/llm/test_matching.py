@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions
 
 from worklore.llm import decontaminate, jaccard_join, suffix_dedup
 
@@ -216,6 +218,24 @@ def test_one_hot_group(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_rounds_let_broadcasts_go(spark, monkeypatch):
+    """A broadcast table of three rows holds a page of tens of MB until the driver forgets it."""
+    memory, called, real = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().memoryManager(), [], jaccard_join.let_go
+    held = lambda: memory.storageMemoryUsed() >> 20
+    few = spark.range(3).selectExpr("cast(id AS string) AS k")
+    assert spark.range(9).selectExpr("cast(id AS string) AS k").join(functions.broadcast(few), "k").count() == 3
+    assert held() >= 16
+    real(spark)
+    until = time.time() + 20
+    while held() >= 16 and time.time() < until:
+        time.sleep(0.2)
+    assert held() < 16
+    monkeypatch.setattr(jaccard_join, "let_go", lambda s: called.append(real(s)))
+    chain = [(i, " ".join(f"w{j}" for j in range(3 * i, 3 * i + 60))) for i in range(4)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(chain, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0} and len(called) >= 5
+
+
 def test_components_of_nothing(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

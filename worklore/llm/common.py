@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -37,6 +38,16 @@ def drop_written(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Between rounds of many joins: the driver forgets broadcast tables that no plan needs any more, of which executors hold
+    a page of tens of MB each, however few their rows; then executors collect their garbage and give the room back to the
+    system, which else only a nearly full heap makes them do. As many tasks as cores reach each executor."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def reread(docs: DataFrame) -> DataFrame:
     """A table that is read several times: one of as many files as cores is left as it lies; another small one is dealt over
     all cores and written, so that it is exchanged once and not for each reading."""

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from worklore.llm import blobs
 from worklore.llm.blobs import COUNTED, ROOM, mix, new_groups
-from worklore.llm.common import drop_written, fanout, fresh_name, held_small, table, written
+from worklore.llm.common import drop_written, fanout, fresh_name, held_small, let_go, table, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
 MULTIPLIERS = mix(np.arange(11, 27, dtype=np.uint64)) | np.uint64(1)
@@ -488,6 +488,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: in
         links = written(met.mapInArrow(lambda b: blobs.freed(_verify(b, k, num, den)), PAIRS_DDL), "links")
     drop_written(close)
     drop_written(texts)
+    let_go(docs.sparkSession)
     return links
 
 
@@ -506,6 +507,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(step.join(up, step["comp"] == up["up_node"], "left").select("node", F.least("comp", "up").alias("comp"), (F.least("comp", "up") < F.col("was")).alias("moved")), "labels")
         drop_written(labels)
         labels = new
+        let_go(labels.sparkSession)
         if not new.where("moved").limit(1).count():
             drop_written(both)
             return labels.select("node", "comp")
@@ -538,9 +540,11 @@ def jaccard_classes(d: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
     with blobs.small_batches(d.sparkSession, BATCH_ROWS):
         members = written(dealt.mapInArrow(lambda b: blobs.freed(_scan(b, num, den)), MEMBERS_DDL), "members")
     near = written(leader_pairs(members, num, den), "leaders")
+    let_go(d.sparkSession)
     links = verified(near, live, sets, shingle, num, den, partitions)
     labels = components(links)
     more = written(across_pairs(members, labels, num, den, partitions).join(near, ["a", "b"], "left_anti"), "across")
+    let_go(d.sparkSession)
     links2 = verified(more, live, sets, shingle, num, den, partitions)
     for used in (members, near, more):
         drop_written(used)

@@ -194,6 +194,19 @@ def test_prompts_fall_back_to_keywords(spark, records):
     assert got[3, "text"] == plain
 
 
+def test_prompts_meet_a_values_first_records(spark):
+    """A file that many records name: a prompt meets the first few live ones, and its block is that of all of them."""
+    rows = [(f"r{i:02}", dt.datetime(2026, 1, 1 + i % 7), "x", "attempt" if i % 5 == 0 else "note", "failed" if i % 5 == 0 else None, "s" * (i % 9), "error_output", "inferred" if i % 4 == 0 else "stated", f"r{i - 1:02}" if i % 6 == 0 else None) for i in range(60)]
+    r = spark.createDataFrame(rows, "id string, occurred_at timestamp, detail string, kind string, outcome string, summary string, evidence string, source string, supersedes string")
+    r = r.withColumn("anchors", F.struct(F.array(F.concat(F.lit("f"), (F.length("summary") % 2).cast("string"))).alias("files"), *(F.array().cast("array<string>").alias(n) for n in ("routes", "symbols", "settings", "commits")), F.lit("main").alias("branch"), F.lit(None).cast("string").alias("issue")))
+    named = spark.range(20).selectExpr("cast(id AS int) AS prompt_id", "explode(array('file')) AS kind", "concat('f', id % 2) AS value").union(spark.createDataFrame([(99, "file", "f0"), (99, "file", "f1")], "prompt_id int, kind string, value string"))
+    a = store.anchor_rows(r).withColumnRenamed("record_id", "id")
+    few, every = (named.join(t, ["kind", "value"]).select("prompt_id", "id") for t in (context.first_of(a, r), a))
+    assert few.count() == 3 * 22 and every.count() == 660
+    got = [sorted(map(tuple, f(m, r).select("prompt_id", "id").collect())) for f in (context.chosen_for_prompts, context.for_prompts) for m in (few, every)]
+    assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == 63
+
+
 def test_shown(spark, tmp_path):
     home = str(tmp_path)
     assert context.shown(spark, home).count() == 0

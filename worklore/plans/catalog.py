@@ -331,8 +331,8 @@ def prompt_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier as a prompt that names its nation's file."""
     named = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("prompt_id"), F.concat(F.lit("src"), (F.col("s_nationkey") % 20).cast("string")).alias("value"))
     r = records(spark, sf_dir)
-    a = store.anchor_rows(r).where("kind = 'file'").select(F.col("record_id").alias("id"), "value")
-    return context.for_prompts(named.join(a, "value").select("prompt_id", "id"), r).select("prompt_id", "id")
+    a = store.anchor_rows(r.select("id", "anchors")).where("kind = 'file'").withColumnRenamed("record_id", "id")
+    return context.chosen_for_prompts(named.join(context.first_of(a, r), "value"), r)
 
 
 PHRASE, NEARBY = '"de la"', "NEAR(der die, 3)"

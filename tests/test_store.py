@@ -207,6 +207,31 @@ def test_prompts_meet_a_values_first_records(spark):
     assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == 63
 
 
+def test_documents_are_split_once(spark, tmp_path, monkeypatch):
+    """Postings of the driver's documents are written in one pass over the texts, each file in order of terms."""
+    from worklore.plans import adapters
+
+    spark.createDataFrame([(i, f"w{i % 7} common w{i % 3}é {'x ' * (i % 4)}") for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, plain = spark.sparkContext.accumulator(0), adapters.documents_for_search
+
+    def counting(spark, sf_dir):
+        def noted(text):
+            seen.add(1)
+            return text
+
+        return plain(spark, sf_dir).withColumn("summary", F.udf(noted, "string")("summary"))
+
+    monkeypatch.setattr(adapters, "documents_for_search", counting)
+    got, totals = adapters.documents_index(spark, str(tmp_path))
+    assert seen.value == 40
+    want = store.postings(plain(spark, str(tmp_path)), ("summary",))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and totals[0] == 40
+    files: dict = {}
+    for r in got.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"), "term", "record_id").orderBy("n").collect():
+        files.setdefault(r["f"], []).append((r["term"], r["record_id"]))
+    assert all(f == sorted(f) for f in files.values())
+
+
 def test_shown(spark, tmp_path):
     home = str(tmp_path)
     assert context.shown(spark, home).count() == 0

@@ -130,3 +130,9 @@ class Index:
 def write_postings(postings: DataFrame, path: str) -> None:
     """Sorted by term, in ranges; a common term's records may fill several."""
     postings.repartitionByRange("term", "record_id").sortWithinPartitions("term", "record_id").write.mode("overwrite").parquet(path)
+
+
+def write_segments(postings: DataFrame, path: str) -> None:
+    """Each task's postings sorted by term, in a file of its own. Nothing is exchanged, and texts are split once, where ranges
+    take a sample of all first. A lookup reads its term's pages in each file, so this suits postings that few lookups read."""
+    postings.sortWithinPartitions("term", "record_id").write.mode("overwrite").parquet(path)

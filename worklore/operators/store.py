@@ -92,7 +92,7 @@ def searchable(records: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, fields: tuple[str, ...] = ("summary", "detail", "anchor_text")) -> DataFrame:
     """(record_id, term, tf, dl): counts over all fields, and the record's number of terms. Terms are sorted and counted as
     runs inside each record, so nothing is exchanged."""
-    words = F.array_sort(F.concat(*(terms(F.col(f)) for f in fields)))
+    words = F.sort_array(F.concat(*(terms(F.col(f)) for f in fields)))
 
     def runs(w: Column) -> Column:
         places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklore.operators.anchors import ANCHORS_DDL
-from worklore.operators.index import write_postings
+from worklore.operators.index import write_segments
 from worklore.operators.store import postings
 from worklore.sources.tables import dealt, read_table, shared_dir
 
@@ -77,7 +77,7 @@ def documents_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[
     path = f"{shared_dir(spark)}/worklore/postings-{hashlib.sha256(repr(files).encode()).hexdigest()[:16]}"
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        write_postings(postings(docs, ("summary",)), f"{path}/postings")
+        write_segments(postings(docs, ("summary",)), f"{path}/postings")
         sums = spark.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))
         sums.withColumn("n", F.lit(docs.count())).write.mode("overwrite").parquet(f"{path}/totals")
     row = spark.read.parquet(f"{path}/totals").first()

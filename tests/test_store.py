@@ -258,3 +258,26 @@ def test_config(tmp_path):
         p.write_text(bad)
         with pytest.raises(config.ConfigError):
             config.load_config(p)
+
+
+def test_topk_equals_all_sums(spark, monkeypatch):
+    """Blocks, floors and lists below the floor lose nothing: common and rare words, copies with equal scores, few hits. Only few rows besides the best come out."""
+    import random
+
+    from worklore.operators import topk
+
+    rnd = random.Random(5)
+    docs = {f"r{i:03}": {w: rnd.choice((0.5, 0.9, 1.7)) for w in range(30) if rnd.random() < (0.8 if w < 6 else 0.1)} for i in range(300)}
+    docs |= {f"s{i:03}": docs["r007"] for i in range(200)}
+    rows = [(d, w, p) for d, ws in docs.items() for w, p in ws.items()]
+    queries = [(q, [(w, 0.01 if w < 6 else 1.0 + w / 7) for w in sorted(rnd.sample(range(33), rnd.randint(1, 8)))]) for q in range(60)]
+    reached = {w: (sorted(p for _, v, p in rows if v == w) or [0])[-6:][0] for w in range(33)}
+    asked = [(q, max(x * reached[w] for w, x in ws), [w for w, _ in ws], [x for _, x in ws]) for q, ws in queries]
+    parts = spark.createDataFrame(rows, "record_id string, no long, part double")
+    got: dict = {}
+    for r in topk.best(parts, spark.createDataFrame(asked, "query long, floor double, nos array<long>, weights array<double>"), len(docs), 6).collect():
+        got.setdefault(r["query"], []).append((-round(r["bm25"], 6), r["id"]))
+    for q, ws in queries:
+        sums = {d: sum(x * held[w] for w, x in ws if w in held) for d, held in docs.items()}
+        assert sorted(got.get(q, []))[:6] == sorted((-round(s, 6), d) for d, s in sums.items() if s > 0)[:6], q
+    assert sum(map(len, got.values())) < 60 * 6 * 4 * 3
